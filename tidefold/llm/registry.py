@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import simhash
+from tidefold.llm import embeddings, simhash
 from tidefold.llm.common import load
 
 
@@ -21,9 +21,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor of every embedding."""
+    found = embeddings.near_duplicates(load(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query(spark, sf_dir)."""
-    return {"op9_simhash": op9_simhash}
+    return {"op9_simhash": op9_simhash, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
