@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import embeddings, simhash
-from tidefold.llm.common import load
+from tidefold.llm import embeddings, language, simhash, toxicity
+from tidefold.llm.common import fold_of, load
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four of five labelled folds."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    marks = load(spark, sf_dir, "labels").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where(~held).join(marks, "doc_id"), F.col("toxic"))
+    found = toxicity.predict(docs, model, keep=[held.alias("held_out")])
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    prototypes = language.fit(docs.where(~held))
+    found = language.predict(docs, prototypes, keep=[held.alias("held_out")])
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +48,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query(spark, sf_dir)."""
-    return {"op9_simhash": op9_simhash, "op10_embeddings": op10_embeddings}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op5_language": op5_language,
+        "op9_simhash": op9_simhash,
+        "op10_embeddings": op10_embeddings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
