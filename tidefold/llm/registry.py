@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import embeddings, language, simhash, toxicity
+from tidefold.llm import embeddings, language, licenses, simhash, toxicity
 from tidefold.llm.common import fold_of, load
 
 
@@ -30,6 +30,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence text and notices of every document."""
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op5_language": op5_language,
+        "op8_licenses": op8_licenses,
         "op9_simhash": op9_simhash,
         "op10_embeddings": op10_embeddings,
     }
@@ -58,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB, for the queries that SQL can state."""
-    return {}
+    return {"op8_licenses": licenses.oracle()}
