@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import embeddings, language, licenses, simhash, toxicity
+from tidefold.llm import decontaminate, embeddings, language, licenses, simhash, toxicity
 from tidefold.llm.common import fold_of, load
 
 
@@ -30,6 +30,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or edited."""
+    found = decontaminate.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", "first_word", "n_words")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licence text and notices of every document."""
     found = licenses.scan(load(spark, sf_dir, "documents"))
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op5_language": op5_language,
+        "op6_decontaminate": op6_decontaminate,
         "op8_licenses": op8_licenses,
         "op9_simhash": op9_simhash,
         "op10_embeddings": op10_embeddings,
