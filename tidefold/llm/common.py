@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once by vectorised code, to bound its memory.
+#: Bytes of text and rows handled at once by vectorised code, to bound its memory.
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 256
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` under ``sf_dir``."""
+    """Table ``name`` under ``sf_dir``; its session gets Arrow batches of bounded size."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,13 +49,20 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of items of ``most`` bytes in all, one item at least."""
+def chunks(sizes: list[int], most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``rows`` items and ``most`` bytes at most, one item at least."""
     start = total = 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > most:
+        if i > start and (total + size > most or i - start >= rows):
             yield start, i
             start, total = i, 0
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def local_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows from the driver, by way of one literal and no Python worker."""
+    kind = "array<struct<" + ", ".join(f"{n}: {t}" for n, t in (c.split() for c in schema.split(", "))) + ">>"
+    table = F.from_json(F.lit(json.dumps(rows)), kind)
+    return spark.range(1).select(F.explode(table).alias("r")).select("r.*")
