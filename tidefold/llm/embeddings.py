@@ -28,7 +28,7 @@ FIT_ROWS = 4096
 #: Leading principal dimensions of the grid.
 GRID_DIMS = 8
 #: Vectors in a block, and in an interval that is compared outright.
-BLOCK = 512
+BLOCK = 256
 LEAF = 64
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidefold.llm.common import local_rows
+
 # Spellings that mean the same, each with the one that is kept.
 SPELLINGS = (
     ("licence", "license"),
@@ -108,7 +110,7 @@ def canonical(text: Column) -> Column:
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license) of known texts; a digest that two share goes to the first name."""
-    rows = spark.createDataFrame(list((texts or TEXTS).items()), "license string, text string")
+    rows = local_rows(spark, [{"license": k, "text": t} for k, t in (texts or TEXTS).items()], "license string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontaminate, embeddings, language, licenses, simhash, toxicity
+from tidefold.llm import decontaminate, embeddings, language, licenses, pii, simhash, toxicity
 from tidefold.llm.common import fold_of, load
 
 
@@ -21,6 +21,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, and all spans."""
+    found = pii.detect(load(spark, sf_dir, "documents"), pii.fit(spark))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four folds."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -62,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query(spark, sf_dir)."""
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_pii": op2_pii,
         "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,
         "op8_licenses": op8_licenses,
