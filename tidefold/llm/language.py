@@ -81,10 +81,11 @@ def profiles(texts: list[str], vectors: np.ndarray, table: np.ndarray) -> np.nda
 
 def _sample(docs: DataFrame, most: int) -> DataFrame:
     """Some ``most`` rows of each language at random by the hash of the id and text, all of a rare one."""
-    shares = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rate = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
+    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rates = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, most / n))]
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(shares.select("lang", rate.alias("rate")), "lang").where(draw < F.col("rate")).select("lang", "text")
+    rate = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0.0)
+    return docs.where(draw < rate).select("lang", "text")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 2000, dims: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
