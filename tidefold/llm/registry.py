@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontaminate, embeddings, language, licenses, pii, simhash, toxicity
+from tidefold.llm import decontaminate, embeddings, language, licenses, pii, sentencepiece, simhash, toxicity
 from tidefold.llm.common import fold_of, load
 
 
@@ -45,6 +45,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", "first_word", "n_words")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document."""
+    found = sentencepiece.encode(load(spark, sf_dir, "documents"), sentencepiece.read_model())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licence text and notices of every document."""
     found = licenses.scan(load(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_licenses": op8_licenses,
         "op9_simhash": op9_simhash,
         "op10_embeddings": op10_embeddings,
