@@ -1,5 +1,6 @@
-"""Table and stream sources."""
+"""Table and stream sources, and journals."""
 
+from tidefold.sources.journal import Journal, JournalStore, Reader
 from tidefold.sources.tables import load, stream
 
-__all__ = ["load", "stream"]
+__all__ = ["Journal", "JournalStore", "Reader", "load", "stream"]
