@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontaminate, embeddings, language, licenses, pii, sentencepiece, simhash, toxicity
+from tidefold.llm import decontaminate, embeddings, language, licenses, pii, quality, sentencepiece, simhash, toxicity
 from tidefold.llm.common import fold_of, load
 
 
@@ -15,8 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four of five labelled folds."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
-    marks = load(spark, sf_dir, "labels").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.where(~held).join(marks, "doc_id"), F.col("toxic"))
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels").where(~held))
     found = toxicity.predict(docs, model, keep=[held.alias("held_out")])
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
@@ -30,6 +29,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its source is the host, its language the path."""
+    docs = load(spark, sf_dir, "documents")
+    learn = F.coalesce(fold_of(F.col("doc_id"), 5) != 0, F.lit(False))
+    found = quality.score(docs, load(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), learn=learn)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four folds."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -78,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_pii": op2_pii,
+        "op3_quality": op3_quality,
         "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,
         "op7_sentencepiece": op7_sentencepiece,
