@@ -88,23 +88,28 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndar
     return w, bias
 
 
-def fit(docs: DataFrame, label: Column, text_col: str = "text", id_col: str = "doc_id", rows_per_class: int = 4000, features: int = 4096, smoothing: float = 1.0, l2: float = 1.0, steps: int = 150) -> Model:
-    """A model from the rows whose ``label`` is 0 or 1; others are left out.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", rows_per_class: int = 4000, features: int = 4096, smoothing: float = 1.0, l2: float = 1.0, steps: int = 150) -> Model:
+    """A model from the texts of ``docs`` whose id has a label 0 or 1 in ``labels``.
 
-    At most about ``rows_per_class`` rows of each class are used, drawn by hash.
+    Other labels and null ids are left out; of several labels of an id the largest
+    counts. The ``rows_per_class`` ids of each class that come first by hash are
+    used; that many go to every task, to pick their texts without a shuffle.
     Counts of n-grams are aggregated over tasks; the driver gets the counts of the
     ``features`` most significant n-grams and which sampled row has which of them,
     both bounded by the parameters. With one class only, or none, the score is
     constant: that class, or 0.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), label.cast("int").alias("y")).where("y in (0, 1)")
-    total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    marks = marks.groupBy("id").agg(F.max("y").alias("y"))
+    first = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for y in (0, 1)]
+    wanted = F.broadcast(first[0].union(first[1]))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parts = max(1, math.ceil(2 * rows_per_class / 2000))
+    sample = checkpoint(rows.join(wanted, "id").select("text", "y").repartition(parts))
+    total = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), 10.0 if 1 in total else -10.0)
-    rate = F.when(F.col("y") == 1, min(1.0, rows_per_class / total[1])).otherwise(min(1.0, rows_per_class / total[0]))
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    parts = max(1, math.ceil(2 * rows_per_class / 2000))
-    sample = checkpoint(rows.where(draw < rate).select(F.coalesce("text", F.lit("")).alias("text"), "y").repartition(parts))
+    n1, n0 = total[1], total[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS), np.int32)
@@ -119,8 +124,6 @@ def fit(docs: DataFrame, label: Column, text_col: str = "text", id_col: str = "d
         b = np.flatnonzero(seen.any(axis=0))
         yield pa.record_batch([pa.array(b), pa.array(seen[1, b]), pa.array(seen[0, b])], ["b", "n1", "n0"])
 
-    size = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
     counts = sample.mapInArrow(count, "b long, n1 int, n0 int").groupBy("b").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     share = (F.col("n1") + F.col("n0")) / float(n1 + n0)
     z = F.abs(F.col("n1") / float(n1) - F.col("n0") / float(n0)) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9)
