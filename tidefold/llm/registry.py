@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontaminate, embeddings, language, licenses, pii, quality, sentencepiece, simhash, toxicity
+from tidefold.llm import decontaminate, embeddings, language, licenses, pii, quality, sentencepiece, simhash, substrings, toxicity
 from tidefold.llm.common import fold_of, load
 
 
@@ -37,6 +37,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of earlier ones."""
+    found = substrings.remove_repeats(load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four folds."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_pii": op2_pii,
         "op3_quality": op3_quality,
+        "op4_substrings": op4_substrings,
         "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,
         "op7_sentencepiece": op7_sentencepiece,
