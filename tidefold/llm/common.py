@@ -24,15 +24,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; set here only if the session names none, as in tests."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/tidefold-checkpoints"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder of ``spark.checkpoint.dir``.
-
-    The folder is set here only if the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir", "/tmp/tidefold-checkpoints")
-        context.setCheckpointDir(folder)
+    """Cut the lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

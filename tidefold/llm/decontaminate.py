@@ -11,7 +11,7 @@ bounded size, each against all documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -258,6 +258,46 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, span: int = 6, threshold: float = 0.6) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item as ``search`` finds them."""
+    lowered = F.lower(F.col(text_col).cast("string"))
+    for items in _blocks(benchmark, item_col, item_text_col, n):
+        texts = docs.select(F.lit(0).alias("id"), lowered.alias("text"))
+        finder = _finder(items, seeds_of(items, _frequencies(texts, items, n), span), n, threshold)
+        marked = docs.select(lowered.alias("_lowered"), *docs.columns)
+
+        def run(batches: Iterator[pa.RecordBatch], finder: Callable = finder) -> Iterator[pa.RecordBatch]:
+            find = finder()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[d for d, *_ in find([t or b"" for t in utf8(batch.column(0))])]] = False
+                kept = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
+                yield kept.filter(pa.array(clean))
+
+        docs = marked.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _finder(items: Items, seeds: np.ndarray, n: int, threshold: float) -> Callable[[], Callable[[list[bytes]], list[tuple[int, int, float, int, int]]]]:
+    """Builds, on an executor, the search of a block of items in a list of texts."""
+
+    def build() -> Callable[[list[bytes]], list[tuple[int, int, float, int, int]]]:
+        look = Lookup(items.grams[seeds])
+        where: dict[int, list[tuple[int, int]]] = {}
+        for s in seeds.tolist():
+            where.setdefault(int(items.grams[s]), []).append((int(items.gram_item[s]), int(items.gram_at[s])))
+
+        def find(texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
+            rows = []
+            for i, j in chunks([len(t) for t in texts]):
+                rows += [(i + d, *r) for d, *r in _hits(texts[i:j], items, look, where, n, threshold)]
+            return rows
+
+        return find
+
+    return build
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, fetched one after another."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -274,18 +314,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Itera
 
 
 def _search_block(docs: DataFrame, items: Items, n: int, span: int, threshold: float) -> DataFrame:
-    seeds = seeds_of(items, _frequencies(docs, items, n), span)
+    finder = _finder(items, seeds_of(items, _frequencies(docs, items, n), span), n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(items.grams[seeds])
-        where: dict[int, list[tuple[int, int]]] = {}
-        for s in seeds.tolist():
-            where.setdefault(int(items.grams[s]), []).append((int(items.gram_item[s]), int(items.gram_at[s])))
+        find = finder()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in utf8(batch.column(1))]
-            rows = []
-            for i, j in chunks([len(t) for t in texts]):
-                rows += [(ids[i + d], int(items.ids[k]), s, at, m) for d, k, s, at, m in _hits(texts[i:j], items, look, where, n, threshold)]
+            rows = [(ids[d], int(items.ids[k]), s, at, m) for d, k, s, at, m in find(texts)]
             names = ["id", "item", "score", "first_word", "n_words"]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names)

@@ -216,3 +216,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     classes = checkpoint(named.join(least, "root").select("fp", "component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One row of each near-duplicate group, all columns: that of the smallest id.
+
+    A row without an id is known by the hash of its text. Of repeated ids one row
+    stays.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    keyed = docs.withColumn("_key", key)
+    found = near_duplicates(keyed, "_key", text_col, shingle, bits)
+    first = found.where("id = component").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
