@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stands for a blank sign that is in the text itself; no valid text has it.
 LITERAL = "\ud800"
-CHUNK = 1 << 19
+CHUNK = 1 << 20
+#: Edges of the lattices that a task keeps for units it may meet again.
+STORED_EDGES = 4_000_000
+#: Steps of a path whose nodes are looked at first.
+NODES = 256
+_ALL = (1 << 64) - 1
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -202,8 +208,10 @@ def lattice(units: list[str], trie: Trie) -> Lattice:
         degree[where] += 1
     order = np.argsort(left.astype(np.int16) if left.max() < 32000 else left, kind="stable")
     first = np.empty(n, np.int64)
-    first[order] = np.cumsum(degree[order]) - degree[order]
-    total = int(degree.sum())
+    sorted_degree = degree[order]
+    begins = np.cumsum(sorted_degree) - sorted_degree
+    first[order] = begins
+    total = int(sorted_degree.sum())
     piece, size, w = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
     filled = first.copy()
     for where, length, ids in found:
@@ -211,29 +219,72 @@ def lattice(units: list[str], trie: Trie) -> Lattice:
         piece[slot], size[slot] = ids, length
         w[slot] = cost[which] if where is bare else v.weights[ids]
         filled[where] += 1
-    owner = np.repeat(order, degree[order])
+    owner = np.repeat(order, sorted_degree)
     back = np.zeros(n)
     cuts = np.searchsorted(left[order], np.arange(1, left.max() + 2))
     for t in range(1, int(left.max()) + 1):
-        places = order[cuts[t - 1] : cuts[t]]
-        if not len(places):
+        a, b = int(cuts[t - 1]), int(cuts[t])
+        if a == b:
             continue
-        lo, hi = first[places[0]], first[places[-1]] + degree[places[-1]]
+        lo, hi = int(begins[a]), int(begins[b - 1] + sorted_degree[b - 1])
         end = owner[lo:hi] + size[lo:hi]
-        value = w[lo:hi] + np.where(size[lo:hi] == t, 0.0, back[np.minimum(end, n - 1)])
-        w[lo:hi] = value
-        seg = first[places] - lo
+        value = w[lo:hi]
+        on = size[lo:hi] < t
+        value[on] += back[end[on]]
+        seg = begins[a:b] - lo
         top = np.maximum.reduceat(value, seg)
-        back[places] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, degree[places])), seg))
+        back[order[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sorted_degree[a:b])), seg))
     logp = w - back[owner]
     p = np.exp(logp)
     run = np.cumsum(p)
-    cum = run - np.repeat((run - p)[first[order]], degree[order])
+    cum = run - np.repeat((run - p)[begins], sorted_degree)
     last = first + degree - 1
     cum[last] = 2.0  # no draw goes beyond
     return Lattice(start, left, first, last, piece, size, np.minimum(logp, 0.0), cum, spelled)
 
 
+class Store:
+    """The lattices of the units met so far, each built once; emptied when full."""
+
+    def __init__(self, trie: Trie, edges: int = STORED_EDGES) -> None:
+        self.trie, self.most = trie, edges
+        self.known: dict[str, int] = {}
+        self.units = self.places = self.edges = 0
+        z = lambda kind: np.zeros(0, kind)
+        self.lat = Lattice(z(np.int64), z(np.int32), z(np.int64), z(np.int64), z(np.int32), z(np.int8), z(np.float64), z(np.float32), {})
+
+    def ids(self, rows: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the units in each row; ``lat`` has all of them."""
+        if self.edges > self.most:
+            self.known.clear()
+            self.units = self.places = self.edges = 0
+        known = self.known
+        before = len(known)
+        out = [np.array([known.setdefault(u, len(known)) for u in row], np.int64) for row in rows]
+        if len(known) > before:
+            self._add(lattice(list(islice(reversed(known), len(known) - before))[::-1], self.trie))
+        return out
+
+    def _add(self, new: Lattice) -> None:
+        units, places, edges = len(new.start), len(new.left), len(new.piece)
+        for names, used, more, shift in (
+            (("start",), self.units, units, self.places),
+            (("left",), self.places, places, 0),
+            (("first", "last"), self.places, places, self.edges),
+            (("piece", "size", "logp", "cum"), self.edges, edges, 0),
+        ):
+            for name in names:
+                held = getattr(self.lat, name)
+                if len(held) < used + more:
+                    grown = np.empty(max(used + more, len(held) * 3 // 2), held.dtype)
+                    grown[:used] = held[:used]
+                    held = grown
+                    setattr(self.lat, name, held)
+                held[used : used + more] = getattr(new, name) + shift if shift else getattr(new, name)
+        self.lat.spelled.update(new.spelled)
+        self.units, self.places, self.edges = self.units + units, self.places + places, self.edges + edges
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -254,6 +305,18 @@ def _next(stream: np.ndarray, count: np.ndarray | int) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
+def _number(seed: int, count: int, kind: int) -> float:
+    """What ``_uniform`` gives, for one place."""
+    x = _scalar_mix((seed + kind * 0xD1B54A32D192ED03) & _ALL)
+    return ((_scalar_mix((x + count * 0x9E3779B97F4A7C15) & _ALL) >> 11) + 0.5) / (1 << 53)
+
+
+def _scalar_mix(x: int) -> int:
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
 def walks(lat: Lattice, at: np.ndarray, seed: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """A drawn path from each place to its unit's end: edges in a row, and their number."""
     count = np.zeros(len(at), np.int64)
@@ -285,6 +348,10 @@ def _value_below(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
         return -np.logaddexp(-top, -(mass - np.log(-np.log(u))))
 
 
+def _log_add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def _log_rest(logp: np.ndarray) -> np.ndarray:
     """log(1 - exp(logp))."""
     with np.errstate(divide="ignore"):
@@ -298,18 +365,30 @@ def _samples(lat: Lattice, places: np.ndarray, fresh: list[tuple[np.ndarray, np.
     each of its edges; ``places`` is where the units' lattices start.
     """
     s = np.array([seed], np.uint64)
-    top = float(-np.log(-np.log(_uniform(s, 0, 1)))[0])
-    paths, values, excluded, where, logs = [], [], [], [], []
+    top = -math.log(-math.log(_number(seed, 0, 1)))
+    paths, values, firsts, excluded, where, logs = [], [], [], [], [], []
 
     def add(edges: np.ndarray, at: np.ndarray, begin: int, value: float) -> None:
-        """A path popped with ``value``; its nodes lie at the steps from ``begin`` on."""
+        """A path popped with ``value``; its nodes lie at the steps from ``begin`` on.
+
+        The noise of a draw is between -4 and 38, so a node whose mass is 42 below
+        that of ``k`` + 1 others is never popped nor bounds what is; the masses of
+        prefixes only fall, so all nodes from some step on are left out.
+        """
         lp = lat.logp[edges]
-        mass = np.cumsum(lp) - lp + _log_rest(lp)
-        node = np.full(len(edges), -np.inf)
-        u = _uniform(s, np.arange(begin, len(edges)), 2 * len(paths) + 2)
-        node[begin:] = _value_below(mass[begin:], value, u)
+        end = min(len(edges), begin + NODES)
+        total = np.cumsum(lp[:end])
+        mass = total[begin:] - lp[begin:end] + _log_rest(lp[begin:end])
+        if end < len(edges):
+            enough = np.partition(mass, -k - 1)[-k - 1] if len(mass) > k else -np.inf
+            if total[-1] >= enough - 42:
+                total = np.cumsum(lp)
+                end = max(end, int(np.searchsorted(-total, 42 - enough)) + 1) if enough > -np.inf else len(edges)
+                mass = total[begin:end] - lp[begin:end] + _log_rest(lp[begin:end])
+        u = _uniform(s, np.arange(begin, begin + len(mass)), 2 * len(paths) + 2)
         paths.append(edges)
-        values.append(node)
+        values.append(_value_below(mass, value, u))
+        firsts.append(begin)
         excluded.append({})
         where.append(at)
         logs.append(float(lp.sum()))
@@ -317,11 +396,12 @@ def _samples(lat: Lattice, places: np.ndarray, fresh: list[tuple[np.ndarray, np.
     add(*fresh[0], 0, top)
     bound = -np.inf
     while True:
-        best = max(range(len(paths)), key=lambda j: values[j].max(initial=-np.inf))
-        bound = values[best].max(initial=-np.inf)
+        tops = [v.max(initial=-np.inf) for v in values]
+        bound = max(tops)
+        best = tops.index(bound)
         if len(paths) == k or bound == -np.inf:
             break
-        i = int(values[best].argmax())
+        i = int(values[best].argmax()) + firsts[best]
         edges, at = paths[best], where[best]
         taken = excluded[best].setdefault(i, [int(edges[i])])
         # the place the step starts at: the unit's start and the sizes of its earlier edges
@@ -330,21 +410,21 @@ def _samples(lat: Lattice, places: np.ndarray, fresh: list[tuple[np.ndarray, np.
         place = int(places[unit] + lat.size[edges[begin:i]].sum())
         options = [e for e in range(lat.first[place], lat.last[place] + 1) if e not in taken]
         p = np.exp(lat.logp[options])
-        u = float(_uniform(s, i, 1000 + len(paths))[0])
+        u = _number(seed, i, 1000 + len(paths))
         e = options[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(options) - 1)]
         prefix = float(lat.logp[edges[:i]].sum())
         taken.append(e)
         rest = [o for o in options if o != e]
         value = -np.inf
         if rest:
-            mass = np.array([prefix + np.log(np.exp(lat.logp[rest]).sum())])
-            value = float(_value_below(mass, bound, _uniform(s, i, 2000 + len(paths)))[0])
-        values[best][i] = value
+            noise = -math.log(-math.log(_number(seed, i, 2000 + len(paths))))
+            value = -_log_add(-bound, -(prefix + float(np.logaddexp.reduce(lat.logp[rest])) + noise))
+        values[best][i - firsts[best]] = value
         # on from the other edge: the rest of its unit, then the units after it
         tail, cur, step = [e], place + int(lat.size[e]), 0
         done = lat.left[place] == lat.size[e]
         while not done:
-            u = float(_uniform(s, (i << 20) + step, 3000 + len(paths))[0])
+            u = _number(seed, (i << 20) + step, 3000 + len(paths))
             f = int(lat.first[cur])
             while u >= lat.cum[f]:
                 f += 1
@@ -366,16 +446,13 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
 
 
-def encode_chunk(texts: list[str], seeds: list[int], trie: Trie, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+def encode_chunk(texts: list[str], seeds: list[int], store: Store, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples: (piece ids, log-probability, log-inclusion)."""
-    known: dict[str, int] = {}
-    rows = []
-    for t in texts:
-        spelled = BLANK + t.replace(BLANK, LITERAL).replace(" ", BLANK) if t else ""
-        rows.append(np.array([known.setdefault(u, len(known)) for u in _UNIT.findall(spelled)], np.int64))
-    if not known:
+    spelled = [BLANK + t.replace(BLANK, LITERAL).replace(" ", BLANK) if t else "" for t in texts]
+    rows = store.ids([_UNIT.findall(t) for t in spelled])
+    lat = store.lat
+    if not any(texts):
         return [[(np.zeros(0, np.int64), 0.0, 0.0)] for _ in texts]
-    lat = lattice(list(known), trie)
     sizes = [len(r) for r in rows]
     unit = np.concatenate(rows)
     row_seed = np.repeat(np.array(seeds, np.uint64), sizes)
@@ -387,7 +464,6 @@ def encode_chunk(texts: list[str], seeds: list[int], trie: Trie, k: int) -> list
         cuts = np.concatenate([[0], np.cumsum(count)])
         drawn.append((edges, np.repeat(ordinal, count), cuts))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    lengths = {s: len(ids) for s, ids in lat.spelled.items()}
     out = []
     for r in range(len(texts)):
         if not sizes[r]:
@@ -397,12 +473,15 @@ def encode_chunk(texts: list[str], seeds: list[int], trie: Trie, k: int) -> list
         found = []
         for edges, lp, inc in _samples(lat, lat.start[rows[r]], fresh, seeds[r], k):
             ids = lat.piece[edges]
-            if ids.min() < 0:
-                many = np.array([lengths.get(i, 1) if i < 0 else 1 for i in ids.tolist()])
-                flat = np.repeat(ids, many)
-                for i in np.unique(ids[ids < 0]).tolist():
-                    flat[flat == i] = np.tile(lat.spelled[i], int((ids == i).sum()))
-                ids = flat
+            bare = ids[ids < 0]
+            if len(bare):
+                kinds, count = np.unique(bare, return_counts=True)
+                many = np.ones(len(ids), np.int64)
+                for i in kinds.tolist():
+                    many[ids == i] = len(lat.spelled[i])
+                ids = np.repeat(ids, many)
+                for i, n in zip(kinds.tolist(), count.tolist(), strict=True):
+                    ids[ids == i] = np.tile(lat.spelled[i], n)
             found.append((ids, lp, inc))
         out.append(found)
     return out
@@ -414,6 +493,25 @@ def decode_ids(ids: np.ndarray, data: list[bytes]) -> bytes:
     return out[1:] if out[:1] == b" " else out
 
 
+class Decoder:
+    """Decodes many rows of piece ids at once."""
+
+    def __init__(self, data: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(data), np.uint8)
+        self.size = np.array([len(d) for d in data])
+        self.start = np.cumsum(self.size) - self.size
+
+    def __call__(self, rows: list[np.ndarray]) -> list[bytes]:
+        """What ``decode_ids`` gives for each row."""
+        ids = np.concatenate([np.zeros(0, np.int64), *rows])
+        size = self.size[ids]
+        end = np.cumsum(size)
+        text = self.flat[np.repeat(self.start[ids] - (end - size), size) + np.arange(int(size.sum()))].tobytes()
+        cuts = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(int)].tolist()
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [p[1:] if p[:1] == b" " else p for p in parts]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", samples: int = 2, seed: int = 0) -> DataFrame:
     """(id, sample, pieces, log_prob, log_inclusion, round_trip), up to ``samples`` rows a row.
 
@@ -429,14 +527,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary)
+        store, decoder = Store(Trie(vocabulary)), Decoder(vocabulary.data)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, j in chunks([len(t) for t in texts], CHUNK):
                 seeds = [xxhash.xxh64_intdigest(key, seed) for key in keys[i:j]]
-                found = encode_chunk(texts[i:j], seeds, trie, samples)
+                found = encode_chunk(texts[i:j], seeds, store, samples)
                 flat = [(r, s, *x) for r, row in enumerate(found) for s, x in enumerate(row)]
-                same = [decode_ids(ids, vocabulary.data) == texts[i + r].encode() for r, _, ids, _, _ in flat]
+                same = [back == texts[i + x[0]].encode() for back, x in zip(decoder([x[2] for x in flat]), flat, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in flat])])
                 pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x[2] for x in flat]), pa.int32()))
                 yield pa.record_batch(
@@ -453,11 +551,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: Column, keep: list[Column]) -> DataFrame:
     """The columns ``keep`` and the ``text`` that the piece ids stand for; null stays null."""
-    data = vocabulary.data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(vocabulary.data)
         for batch in batches:
-            texts = [None if ids is None else decode_ids(np.array(ids, int), data).decode("utf-8", "replace") for ids in batch.column(0).to_pylist()]
+            rows = batch.column(0).to_pylist()
+            found = decoder([np.array(ids or [], int) for ids in rows])
+            texts = [None if ids is None else t.decode("utf-8", "replace") for ids, t in zip(rows, found, strict=True)]
             yield pa.record_batch([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
     chosen = rows.select(pieces.alias("_pieces"), *keep)
