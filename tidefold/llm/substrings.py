@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,12 @@ from tidefold.llm.suffix import suffix_array
 
 #: Bytes of a window.
 WINDOW = 50
-#: Bytes of an anchor; a power of two.
-SEED = 16
+#: Bytes of an anchor: long enough that texts rarely share one by chance.
+SEED = 20
 #: Offsets of an anchor in a window that one piece holds together.
-CLASS = 6
+CLASS = 12
 #: Bytes of documents that are hashed at once, and of pieces sorted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SORTED = 1 << 21
 #: Bytes of text whose anchors a shard holds, about.
 SHARD_BYTES = 1 << 20
@@ -53,79 +54,92 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes from each place on; ``size`` is a power of two."""
-    h, step = _mix(data.astype(np.uint64) + np.uint64(1)), 1
-    while step < size:
-        h = h[:-step] * _M + h[step:]
-        step *= 2
-        h ^= h >> np.uint64(29)
-    return _mix(h)
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
+_UNDO = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
-def stretches(data: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor place, first window, windows, anchor hash, stretch hash) of documents
-    laid end to end; ``owner`` is each byte's document. Under 16 MB at once."""
-    none = np.zeros(0, np.int64)
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``SEED`` bytes from each place on: polynomials of random digits,
+    put together from those of half the bytes, and mixed."""
+    h, have = _BYTES[data], 1
+    held = {1: h}
+    while 2 * have <= SEED:
+        h = h[:-have] * _factor(have) + h[have:]
+        have *= 2
+        held[have] = h
+    rest = SEED - have
+    if rest:
+        h = h[: len(data) - SEED + 1] * _factor(rest) + held[rest][have : have + len(data) - SEED + 1]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def stretches(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, anchor place, first window, windows, anchor hash, stretch hash) of
+    documents laid end to end from ``starts`` on. Under 16 MB at once."""
+    none, bare = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    h = gram_hashes(data, SEED)
+        return none, none, none, none, bare, bare
+    h = gram_hashes(data)
     key = ((h >> _PLACE) << _PLACE) | np.arange(len(h), dtype=np.uint64)
     width, low, span = length - SEED + 1, key, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    anchor = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    whole = owner[: len(anchor)] == owner[length - 1 :]
-    at = np.flatnonzero(whole)
-    if not len(at):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    cut = np.flatnonzero(np.diff(anchor[at]) != 0) + 1
-    first = at[np.concatenate([[0], cut])]
-    count = np.diff(np.concatenate([[0], cut, [len(at)]]))
-    place = anchor[first]
+    change = np.empty(len(low), bool)
+    change[0] = True
+    np.not_equal(low[1:], low[:-1], out=change[1:])
+    change[starts[starts < len(low)]] = True
+    first = np.flatnonzero(change)
+    end = np.append(first[1:], len(low))
+    # windows that run over a document's end are none
+    owner = np.searchsorted(starts, first, side="right") - 1
+    stop = np.append(starts[1:], len(data))[owner] - length + 1
+    count = np.minimum(end, stop) - first
+    keep = count > 0
+    owner, first, count = owner[keep], first[keep], count[keep]
+    place = (low[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
     # a stretch's hash: its k-grams as digits of a number, from sums of shifted digits
-    power = np.cumprod(np.full(len(h), _M))
-    inverse = np.cumprod(np.full(len(h), np.uint64(pow(int(_M), -1, 1 << 64))))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
+    power, inverse = np.cumprod(np.full(len(h), _M)), np.cumprod(np.full(len(h), _UNDO))
+    sums = np.empty(len(h) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(h * power, out=sums[1:])
     grams = count + length - SEED
     total = (sums[first + grams] - sums[first]) * inverse[first]
-    return place, first, count, h[place], _mix(total + grams.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (place - first).astype(np.uint64))
+    return owner, place, first, count, h[place], _mix(total + grams.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (place - first).astype(np.uint64))
 
 
-def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, document, offset in the document of each byte's slice) of chunks; a long
-    document is cut into slices that share all but one byte of a window."""
-    part: list[tuple[bytes, int, int]] = []
-    size = 0
+def _factor(k: int) -> np.uint64:
+    return np.uint64(pow(int(_M), k, 1 << 64))
 
-    def laid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join(p[0] for p in part), np.uint8)
-        sizes = [len(p[0]) for p in part]
-        return data, np.repeat([p[1] for p in part], sizes), np.repeat(np.array([p[2] for p in part]) - (np.cumsum(sizes) - sizes), sizes)
 
+def _slices(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
+    """(bytes, sizes, documents, offsets in them) of chunks of whole documents; a long document
+    is cut into slices that share all but one byte of a window."""
+    part: list[tuple[bytes, int, int]] = []
+    size = 0
     for d, text in enumerate(texts):
         for start in range(0, max(1, len(text) - length + 1), 4 * CHUNK):
             piece = text[start : start + 4 * CHUNK + length - 1]
             if part and size + len(piece) > CHUNK:
-                yield laid()
-                part, size = [], 0
-            if part and part[-1][1] == d:  # slices of one document do not touch
-                yield laid()
+                yield b"".join(p[0] for p in part), [len(p[0]) for p in part], [p[1] for p in part], [p[2] for p in part]
                 part, size = [], 0
-            part.append((piece, d, start))
-            size += len(piece)
+            if len(piece) >= length:
+                part.append((piece, d, start))
+                size += len(piece)
     if part:
-        yield laid()
+        yield b"".join(p[0] for p in part), [len(p[0]) for p in part], [p[1] for p in part], [p[2] for p in part]
 
 
 def _found(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(document, first window in it, windows, anchor's offset, anchor hash, stretch hash) of a batch."""
     out = []
-    for data, owner, shift in _slices(texts, length):
-        place, first, count, h, s = stretches(data, owner, length)
-        out.append((owner[first], first + shift[first], count, place - first, h, s))
+    for data, sizes, docs, shifts in _slices(texts, length):
+        starts = np.cumsum(sizes) - sizes
+        owner, place, first, count, h, s = stretches(np.frombuffer(data, np.uint8), starts, length)
+        moved = first - starts[owner] + np.array(shifts)[owner]
+        out.append((np.array(docs)[owner], moved, count, place - first, h, s))
     kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
     return tuple(np.concatenate([np.zeros(0, k), *[o[i] for o in out]]) for i, k in enumerate(kinds))
 
@@ -135,7 +149,7 @@ def _entry(h: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
-    """Sorted ids as compressed differences."""
+    """Ids as compressed differences."""
     return zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
 
 
@@ -143,55 +157,64 @@ def _unpack_ids(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), np.int64))
 
 
-def _grouped_rows(ids: np.ndarray, full: np.ndarray, mixed: np.ndarray, shard: int) -> pa.RecordBatch:
-    """Replies by document: its entries covered whole, and those to be looked at."""
-    order = np.lexsort((mixed, ids))
-    ids, full, mixed = ids[order], full[order], mixed[order]
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    heads = np.concatenate([[0], cut, [len(ids)]]) if len(ids) else np.zeros(1, int)
-    rows = [(int(ids[a]), full[a:b][~mixed[a:b]].tobytes(), full[a:b][mixed[a:b]].tobytes()) for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
-    return _rows([shard] * len(rows), [1] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+def _packed(shard: list[int], pairs: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
+    """Entries on their way to shards."""
+    none = pa.nulls(len(shard), pa.int64())
+    return pa.record_batch([pa.array(shard, pa.int64()), pa.array(pairs, pa.binary()), pa.array(ids, pa.binary()), none, none, pa.nulls(len(shard), pa.bool_())], _ENTRY)
 
 
-_SHAPE = "shard long, kind int, id long, a binary, b binary"
+def _said(ids: np.ndarray, entry: np.ndarray, mixed: np.ndarray) -> pa.RecordBatch:
+    """Replies to documents: an entry that is covered whole, or is to be looked at."""
+    none = pa.nulls(len(ids), pa.binary())
+    shard = -1 - (entry % np.uint64(1 << 20)).astype(np.int64)
+    return pa.record_batch([pa.array(shard), none, none, pa.array(ids), pa.array(entry.view(np.int64)), pa.array(mixed)], _ENTRY)
 
 
-def _rows(shard: list, kind: list, ids: list, a: list, b: list) -> pa.RecordBatch:
-    values = [pa.array(shard, pa.int64()), pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
-    return pa.record_batch(values, ["shard", "kind", "id", "a", "b"])
+_ENTRY = ["shard", "pairs", "ids", "id", "entry", "mixed"]
+_ENTRIES = "shard long, pairs binary, ids binary, id long, entry long, mixed boolean"
 
 
 def _anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
-    """Entries for shards (kind 0) and what a batch settles by itself (kind 1)."""
+    """Entries for shards, once a batch and stretch, and what a batch settles by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             doc, _, _, _, h, s = _found([t or b"" for t in utf8(batch.column(1))], length)
-            mine = ids[doc]
-            order = np.lexsort((mine, s, h))
-            h, s, mine = h[order], s[order], mine[order]
-            head = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])) if len(h) else np.zeros(0, bool)
-            least = mine[head][np.cumsum(head) - 1] if len(h) else mine
-            later = mine > least
-            if later.any():
-                entries = _entry(h[later], s[later])
-                yield _grouped_rows(mine[later], entries, np.zeros(len(entries), bool), 0)
-            h, s, mine = h[head], s[head], mine[head]
-            shard = (h % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((mine, shard))
-            h, s, mine, shard = h[order], s[order], mine[order], shard[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.zeros(1, int)
+            if not len(h):
+                continue
+            mine, entry = ids[doc], _entry(h, s)
+            order = np.argsort(entry)
+            head = np.flatnonzero(np.append(True, entry[order][1:] != entry[order][:-1]))
+            sizes = np.diff(np.append(head, len(order)))
+            least = np.repeat(np.minimum.reduceat(mine[order], head), sizes)
+            is_least = mine[order] == least
+            later = order[~is_least]
+            if len(later):
+                yield _said(mine[later], entry[later], np.zeros(len(later), bool))
+            # of the entries of the least document, the first
+            rank = np.where(is_least, np.arange(len(order)), len(order))
+            rep = np.sort(order[np.minimum.reduceat(rank, head)])
+            shard = (h[rep] % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+            rep = rep[np.argsort(shard, kind="stable")]
+            shard = np.sort(shard, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            pairs = np.stack([h, s], axis=1)
-            yield _rows([int(shard[a]) for a, _ in spans], [0] * len(spans), [None] * len(spans), [pairs[a:b].tobytes() for a, b in spans], [_pack_ids(mine[a:b]) for a, b in spans])
+            pairs, owners = np.stack([h[rep], s[rep]], axis=1), mine[rep]
+            yield _packed([int(shard[a]) for a, _ in spans], [pairs[a:b].tobytes() for a, b in spans], [_pack_ids(owners[a:b]) for a, b in spans])
 
-    return docs.mapInArrow(run, _SHAPE)
+    return docs.mapInArrow(run, _ENTRIES)
 
 
-def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray, shard: int) -> pa.RecordBatch:
+def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """Replies of a shard: equal stretches of later documents are covered whole; if an
     anchor has several stretches, the least document of each is to be looked at."""
+    order = np.argsort(h)
+    twin = h[order][1:] == h[order][:-1]
+    order = order[np.append(False, twin) | np.append(twin, False)]  # others are in one document
+    h, s, ids = h[order], s[order], ids[order]
+    if not len(h):
+        return _said(ids, h, np.zeros(0, bool))
     order = np.lexsort((ids, s, h))
     h, s, ids = h[order], s[order], ids[order]
     by_h = np.append(True, h[1:] != h[:-1])
@@ -202,7 +225,7 @@ def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray, shard: int) -> pa.Rec
     several = (np.add.reduceat(by_s.astype(np.int64), heads) > 1)[group]
     later = ids > ids[by_s][kind]
     use = shared & (later | several & by_s)
-    return _grouped_rows(ids[use], _entry(h[use], s[use]), ~later[use], shard)
+    return _said(ids[use], _entry(h[use], s[use]), ~later[use])
 
 
 def _by_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -210,8 +233,7 @@ def _by_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
     held: list[tuple] = []
     current = None
     for batch in rows:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if held and row[0] != current:
                 yield current, held
                 held = []
@@ -222,22 +244,26 @@ def _by_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
 
 
 def _replies(entries: DataFrame) -> DataFrame:
-    """(id, full, mixed): packed entries of each document that has any."""
+    """(id, entry, mixed) of what the shards and the batches settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches):
-            said = [r for r in rows if r[1] == 1]
-            if said:
-                yield _rows([shard] * len(said), [1] * len(said), [r[2] for r in said], [r[3] for r in said], [r[4] for r in said])
-            sent = [r for r in rows if r[1] == 0]
-            if sent:
-                pairs = np.concatenate([np.frombuffer(r[3], np.uint64).reshape(-1, 2) for r in sent])
-                yield _settle(pairs[:, 0], pairs[:, 1], np.concatenate([_unpack_ids(r[4]) for r in sent]), shard)
+        said: list[pa.RecordBatch] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column(3).is_valid()
+                said.append(batch.filter(known))
+                yield batch.filter(pc.invert(known))
 
-    # what batches settled goes by document; entries by shard
-    spread = F.when(F.col("kind") == 1, -1 - F.pmod(F.xxhash64("id"), F.lit(4096))).otherwise(F.col("shard"))
-    dealt = entries.withColumn("shard", spread).repartition("shard").sortWithinPartitions("shard", "kind")
-    return dealt.mapInArrow(run, _SHAPE).select("id", F.col("a").alias("full"), F.col("b").alias("mixed"))
+        for _, rows in _by_shard(sent()):
+            yield from said
+            said.clear()
+            pairs = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, 2) for r in rows])
+            yield _settle(pairs[:, 0], pairs[:, 1], np.concatenate([_unpack_ids(r[2]) for r in rows]))
+        yield from said
+
+    dealt = entries.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, _ENTRIES).select("id", "entry", "mixed")
 
 
 def _covered(intervals: np.ndarray, size: int) -> np.ndarray:
@@ -267,43 +293,68 @@ def _pieces_of(text: bytes, first: int, count: int, offset: int, h: int) -> Iter
         window = stop
 
 
+_SHAPE = "shard long, kind int, id long, a binary, b binary"
+
+
+def _rows(shard: list, kind: list, ids: list, a: list, b: list) -> pa.RecordBatch:
+    values = [pa.array(shard, pa.int64()), pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
+    return pa.record_batch(values, ["shard", "kind", "id", "a", "b"])
+
+
+def _asked(column: pa.Array) -> np.ndarray:
+    """The entries in a column of lists, each joined with its row's number."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return _at_row(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), row)
+
+
+def _at_row(entry: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return entry ^ _mix(row.astype(np.uint64) + np.uint64(1))
+
+
 def _looked_at(docs: DataFrame, length: int) -> DataFrame:
     """For documents with replies: covered intervals (kind 1), and pieces to sort (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in utf8(batch.column(1))]
-            full, mixed = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             doc, first, count, offset, h, s = _found(texts, length)
             entry = _entry(h, s)
-            bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+            asked = _at_row(entry, doc)
             kind, keys, names, a, b = [], [], [], [], []
-            for d, text in enumerate(texts):
-                at = np.arange(bounds[d], bounds[d + 1])
-                whole = at[np.isin(entry[at], np.frombuffer(b"".join(full[d]), np.uint64))]
-                if len(whole):
-                    ends = first[whole] + count[whole] + length - 1
+            whole = np.flatnonzero(np.isin(asked, _asked(batch.column(2))))
+            spans = np.stack([first[whole], first[whole] + count[whole] + length - 1], axis=1)
+            cuts = np.searchsorted(doc[whole], np.arange(len(texts) + 1)).tolist()
+            for d, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if j > i:
                     kind.append(1)
                     keys.append(0)
                     names.append(ids[d])
-                    a.append(np.stack([first[whole], ends], axis=1).astype(np.int64).tobytes())
+                    a.append(_merged(spans[i:j]).tobytes())
                     b.append(b"")
-                seen = set()
-                for i in at[np.isin(entry[at], np.frombuffer(b"".join(mixed[d]), np.uint64))].tolist():
-                    if int(entry[i]) in seen:
-                        continue  # an equal stretch of the same document; what is found counts for all of them
-                    seen.add(int(entry[i]))
-                    for key, window, piece in _pieces_of(text, int(first[i]), int(count[i]), int(offset[i]), int(h[i])):
-                        kind.append(0)
-                        keys.append(key)
-                        names.append(ids[d])
-                        a.append(int(entry[i]).to_bytes(8, "little") + (window - int(first[i])).to_bytes(8, "little"))
-                        b.append(piece)
+            part = np.flatnonzero(np.isin(asked, _asked(batch.column(3))))
+            _, once = np.unique(asked[part], return_index=True)  # what is found counts for all equal stretches of a document
+            for i in part[once].tolist():
+                d, at = int(doc[i]), int(first[i])
+                name = int(entry[i]).to_bytes(8, "little")
+                for key, window, piece in _pieces_of(texts[d], at, int(count[i]), int(offset[i]), int(h[i])):
+                    kind.append(0)
+                    keys.append(key)
+                    names.append(ids[d])
+                    a.append(name + (window - at).to_bytes(8, "little"))
+                    b.append(piece)
             yield _rows(keys, kind, names, a, b)
 
     return docs.mapInArrow(run, _SHAPE)
 
 
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Sorted intervals, those that touch joined."""
+    reach = np.maximum.accumulate(spans[:, 1])
+    head = np.append(True, spans[1:, 0] > reach[:-1])
+    return np.stack([spans[head, 0], np.append(reach[:-1][head[1:]], reach[-1])], axis=1)
+
+
 def _sorted_pieces(ids: np.ndarray, pieces: list[bytes], length: int) -> list[np.ndarray]:
     """For each piece the offsets of its windows that occur in a piece of a lesser id."""
     sizes = np.array([len(p) + 1 for p in pieces])
@@ -324,37 +375,67 @@ def _sorted_pieces(ids: np.ndarray, pieces: list[bytes], length: int) -> list[np
 
 
 def _settled(pieces: DataFrame, length: int) -> DataFrame:
-    """(id, entry, windows) of pieces with repeated windows, from sorting their suffixes."""
+    """(kind, id, a, b): covered intervals as they come (kind 1); of pieces with repeated
+    windows, from sorting their suffixes, the entry and the windows (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        passing: list[pa.RecordBatch] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole = pc.equal(batch.column(1), 1)
+                passing.append(batch.filter(whole))
+                yield batch.filter(pc.invert(whole))
 
         def flush() -> pa.RecordBatch:
             found = _sorted_pieces(np.array([r[2] for r in held], np.int64), [r[4] for r in held], length)
-            out = [(r[2], r[3][:8], np.asarray(w + int.from_bytes(r[3][8:], "little"), np.int64).tobytes()) for r, w in zip(held, found, strict=True) if len(w)]
-            return _rows([0] * len(out), [0] * len(out), [r[0] for r in out], [r[1] for r in out], [r[2] for r in out])
-
-        for _, rows in _by_shard(batches):
-            if len({r[2] for r in rows}) > 1:  # else no other document has its key
-                held += rows
-                size += sum(len(r[4]) for r in rows)
+            out = [(r, w) for r, w in zip(held, found, strict=True) if len(w)]
+            return told(out)
+
+        def told(out: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+            windows = [np.asarray(w + int.from_bytes(r[3][8:], "little"), np.int64).tobytes() for r, w in out]
+            return _rows([0] * len(out), [0] * len(out), [r[2] for r, _ in out], [r[3][:8] for r, _ in out], windows)
+
+        for _, rows in _by_shard(sent()):
+            yield from passing
+            passing.clear()
+            if len({r[2] for r in rows}) < 2:
+                continue  # no other document has its key
+            # of equal pieces the least document's is sorted; all windows of later ones repeat
+            least: dict[bytes, tuple] = {}
+            for r in rows:
+                if r[4] not in least or r[2] < least[r[4]][2]:
+                    least[r[4]] = r
+            equal = [(r, np.arange(len(r[4]) - length + 1)) for r in rows if r[2] > least[r[4]][2]]
+            if equal:
+                yield told(equal)
+            if len(least) > 1:
+                held += least.values()
+                size += sum(map(len, least))
                 if size > SORTED:
                     yield flush()
                     held, size = [], 0
+        yield from passing
         if held:
             yield flush()
 
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, _SHAPE).select("id", F.col("a").alias("entry"), F.col("b").alias("windows"))
+    # what is covered whole passes, spread by document
+    spread = F.when(F.col("kind") == 1, F.xxhash64("id")).otherwise(F.col("shard"))
+    dealt = pieces.withColumn("shard", spread).repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, _SHAPE).select("kind", "id", "a", "b")
 
 
 def _release(df: DataFrame) -> None:
     """Lets the cluster drop shuffle files that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first frees may be all that refers to more
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,15 +452,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = base.where("id is not null")
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = 1 << max(6, (total // SHARD_BYTES).bit_length())
-    replies = checkpoint(_replies(_anchors(named, length, shards)))
-    _release(docs)
-    both = F.struct("full", "mixed")
-    asked = replies.groupBy("id").agg(F.collect_list(both).alias("r")).select("id", F.col("r.full").alias("full"), F.col("r.mixed").alias("mixed"))
-    seen = checkpoint(_looked_at(named.join(asked, "id").select("id", "text", "full", "mixed"), length))
+    replies = _replies(_anchors(named, length, shards))
+    pick = lambda wanted: F.collect_list(F.when(wanted, F.col("entry")))
+    asked = replies.groupBy("id").agg(pick(~F.col("mixed")).alias("full"), pick(F.col("mixed")).alias("mixed"))
+    asked = checkpoint(asked)
+    del replies
     _release(docs)
-    whole = seen.where("kind = 1").select("id", F.col("a").alias("whole"), F.lit(None).cast("binary").alias("entry"), F.lit(None).cast("binary").alias("windows"))
-    sorted_ = _settled(seen.where("kind = 0"), length).select("id", F.lit(None).cast("binary").alias("whole"), "entry", "windows")
-    marks = checkpoint(whole.union(sorted_).groupBy("id").agg(F.collect_list(F.struct("whole", "entry", "windows")).alias("m")))
+    pieces = _looked_at(named.join(asked, "id").select("id", "text", "full", "mixed"), length)
+    found = _settled(pieces, length).groupBy("id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("m"))
+    marks = checkpoint(found)
+    del found, pieces, asked
     _release(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,11 +485,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _mask(text: bytes, marks: list[dict], length: int) -> np.ndarray:
     """The bytes of a document that go."""
-    parts = [np.frombuffer(m["whole"], np.int64).reshape(-1, 2) for m in marks if m["whole"] is not None]
+    parts = [np.frombuffer(m["a"], np.int64).reshape(-1, 2) for m in marks if m["kind"] == 1]
     partial: dict[int, list[np.ndarray]] = {}
     for m in marks:
-        if m["entry"] is not None:
-            partial.setdefault(int.from_bytes(m["entry"], "little"), []).append(np.frombuffer(m["windows"], np.int64))
+        if m["kind"] == 0:
+            partial.setdefault(int.from_bytes(m["a"], "little"), []).append(np.frombuffer(m["b"], np.int64))
     if partial:  # every stretch of the document with that entry
         _, first, _, _, h, s = _found([text], length)
         entry = _entry(h, s)
