@@ -60,17 +60,31 @@ class BlockQueues:
         while queue:
             part, size = [], 0
             while queue and size < BLOCK:
-                a, b = queue.popleft()
-                if isinstance(a, int):
-                    self.file.seek(a)
-                    block = np.frombuffer(self.file.read(b * _TUPLE.itemsize), _TUPLE)
-                    a, b = block["at"].astype(np.int64), block["lcp"]
-                else:
-                    self.held -= len(a)
+                block = queue.popleft()
+                self.held -= 0 if isinstance(block[0], int) else len(block[0])
+                a, b = self._read(block)
                 part.append((a, b))
                 size += len(a)
             yield np.concatenate([a for a, _ in part]), np.concatenate([b for _, b in part])
 
+    def _read(self, block: tuple) -> tuple[np.ndarray, np.ndarray]:
+        a, b = block
+        if not isinstance(a, int):
+            return a, b
+        self.file.seek(a)
+        read = np.frombuffer(self.file.read(b * _TUPLE.itemsize), _TUPLE)
+        return read["at"].astype(np.int64), read["lcp"]
+
+    def backward(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A symbol's tuples from the last to the first, block by block; they stay.
+
+        A common prefix then belongs to the next one down, the first of a block's
+        to none.
+        """
+        for block in reversed(self.queues[symbol]):
+            at, lcp = self._read(block)
+            yield at[::-1], np.concatenate([[0], lcp[:0:-1]]).astype(np.int16)
+
     def close(self) -> None:
         """Drops the file."""
         if self.file is not None:
@@ -166,60 +180,48 @@ def _grouped(text: np.ndarray, at: np.ndarray, lcp: np.ndarray, up: bool) -> Ite
 
 def _induce_all(text: np.ndarray, small: np.ndarray, symbols: int, lms: np.ndarray, lcp: np.ndarray, depth: int, memory: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
     """From sorted leftmost S suffixes to all: (symbol, places, common prefixes, is S) descending."""
-    rising = list(_sweep(text, small, symbols, _grouped(text, lms, lcp, True), True, depth, memory))
-    by_symbol: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for symbol, at, common in rising:
-        by_symbol.setdefault(symbol, []).append((at, common))
-
-    def falling() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for symbol in sorted(by_symbol, reverse=True):
-            at = np.concatenate([a for a, _ in by_symbol[symbol]])[::-1]
-            common = np.concatenate([c for _, c in by_symbol[symbol]])
-            # turned round, a common prefix belongs to the next one down
-            yield symbol, at, np.concatenate([[0], common[:0:-1]]).astype(np.int16)
-
-    sweep = _sweep(text, small, symbols, falling(), False, depth, memory)
-    large = {symbol: True for symbol in by_symbol}
-    last = None
-    for symbol, at, common in sweep:
-        if last is not None and symbol < last:
-            yield from _large(by_symbol, large, lambda s, low=symbol, high=last: low < s <= high)
-        elif last is None:
-            yield from _large(by_symbol, large, lambda s, low=symbol: s > low)
-        last = symbol
+    large = BlockQueues(symbols, memory)
+    for symbol, at, common in _sweep(text, small, symbols, _grouped(text, lms, lcp, True), True, depth, memory):
+        large.put(symbol, at, common)
+    seeds = ((symbol, *block) for symbol in range(symbols - 1, -1, -1) for block in large.backward(symbol))
+    above = symbols - 1  # the first symbol whose L suffixes are still to come
+    for symbol, at, common in _sweep(text, small, symbols, seeds, False, depth, memory):
+        for s in range(above, symbol, -1):  # within a symbol, S suffixes are larger
+            yield from ((s, *block, False) for block in large.backward(s))
+        above = min(above, symbol)
         yield symbol, at, common, True
-    yield from _large(by_symbol, large, lambda s: True)
+    for s in range(above, -1, -1):
+        yield from ((s, *block, False) for block in large.backward(s))
+    large.close()
 
 
-def _large(by_symbol: dict[int, list], left: dict[int, bool], due: object) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    for symbol in sorted([s for s in left if due(s)], reverse=True):
-        del left[symbol]
-        at = np.concatenate([a for a, _ in by_symbol[symbol]])[::-1]
-        common = np.concatenate([c for _, c in by_symbol[symbol]])
-        yield symbol, at, np.concatenate([[0], common[:0:-1]]).astype(np.int16), False
-
-
-def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY_TUPLES) -> tuple[np.ndarray, np.ndarray]:
-    """(places, common prefixes): all suffixes in order to ``depth``, and the common
-    prefix, ``depth`` at most, of each with the one before it (0 for the first).
+def suffix_blocks(text: np.ndarray, depth: int, memory: int = MEMORY_TUPLES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (places, common prefixes) of all suffixes, from the largest down.
 
-    ``text`` holds small non-negative integers.
+    They are in order to ``depth``; a common prefix, ``depth`` at most, is that with
+    the suffix before in this order (0 for the first). ``text`` holds small
+    non-negative integers.
     """
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    if len(text) == 0:
+        return
     small = types(text)
     symbols = int(text.max()) + 1
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     order, lcp = _sorted_lms(text, small, symbols, lms, depth, memory)
-    places, common, last = [], [], -1
-    for _, at, c, _ in _induce_all(text, small, symbols, order, lcp, depth, memory):
-        if last >= 0:
-            c = c.copy()
-            c[0] = _common(text, last, int(at[0]), depth)
-        places.append(at)
-        common.append(c)
+    last = -1
+    for _, at, common, _ in _induce_all(text, small, symbols, order, lcp, depth, memory):
+        common = common.copy()
+        common[0] = _common(text, last, int(at[0]), depth) if last >= 0 else 0
+        yield at, common
         last = int(at[-1])
+
+
+def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY_TUPLES) -> tuple[np.ndarray, np.ndarray]:
+    """(places, common prefixes) in ascending order, as ``suffix_blocks`` gives them."""
+    blocks = list(suffix_blocks(text, depth, memory))
+    if not blocks:
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    places, common = zip(*blocks, strict=True)
     down, shared = np.concatenate(places), np.concatenate(common)
     return down[::-1], np.concatenate([[0], shared[:0:-1]]).astype(np.int16)
 
