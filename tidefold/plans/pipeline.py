@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -97,13 +97,14 @@ class Pipeline:
         for op in self._operators():
             out, order = op.stream(out, order)
         writer = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint)
-        return StreamRun((writer.trigger(**trigger) if trigger else writer).start(), name, order)
+        return StreamRun(df.sparkSession, (writer.trigger(**trigger) if trigger else writer).start(), name, order)
 
 
 @dataclass
 class StreamRun:
     """A running pipeline with a cursor over its results."""
 
+    spark: SparkSession
     query: StreamingQuery
     name: str
     order: list[str]
@@ -131,11 +132,11 @@ class StreamRun:
 
     def output_size(self) -> int:
         """Results so far."""
-        return self.query.sparkSession.table(self.name).count()
+        return self.spark.table(self.name).count()
 
     def try_receive(self) -> Row | None:
         """The next result, or None if there is none yet; the cursor advances."""
-        table = self.query.sparkSession.table(self.name)
+        table = self.spark.table(self.name)
         rows = table.orderBy(*self.order).offset(self.cursor).limit(1).collect()
         if not rows:
             return None

@@ -21,8 +21,8 @@ from tidefold.plans.fold import Fold
 class _Pickled(StatefulProcessor):
     """One pickled value a key; ``ttl_ms`` drops it when idle, None keeps it."""
 
-    def __init__(self, order: list[str], update: Callable[[Any, Row], tuple[Any, list[tuple]]], ttl_ms: int | None = None) -> None:
-        self.order, self.update, self.ttl_ms = order, update, ttl_ms
+    def __init__(self, order: list[str], names: list[str], update: Callable[[Any, Row], tuple[Any, list[tuple]]], ttl_ms: int | None = None) -> None:
+        self.order, self.names, self.update, self.ttl_ms = order, names, update, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "value binary", ttlDurationMs=self.ttl_ms)
@@ -35,14 +35,14 @@ class _Pickled(StatefulProcessor):
             out += found
         self.state.update((pickle.dumps(state),))
         for values in out:
-            yield Row(*values)
+            yield Row(**dict(zip(self.names, values, strict=True)))
 
     def close(self) -> None:
         pass
 
 
 def _keyed(df: DataFrame, key: list[str], order: list[str], update: Callable, schema: StructType, ttl_ms: int | None = None) -> DataFrame:
-    return df.groupBy(*key).transformWithState(_Pickled(order, update, ttl_ms), schema, "Append", "None")
+    return df.groupBy(*key).transformWithState(_Pickled(order, schema.names, update, ttl_ms), schema, "Append", "None")
 
 
 def with_previous(df: DataFrame, key: list[str], order: list[str], fields: list[str], name: str) -> DataFrame:
@@ -53,7 +53,8 @@ def with_previous(df: DataFrame, key: list[str], order: list[str], fields: list[
 
     def update(state: tuple | None, row: Row) -> tuple[tuple, list[tuple]]:
         now = tuple(row[f] for f in fields) if fields else (True,)
-        return now, [(*[row[c] for c in columns], state)]
+        before = None if state is None else Row(**dict(zip(kept.names, state, strict=True)))
+        return now, [(*[row[c] for c in columns], before)]
 
     return _keyed(df, key, order, update, schema)
 
