@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder as Parquet and read again.
+
+    Unlike a checkpoint it has the size of what was written, so estimates do not
+    multiply from round to round of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids have no fold."""
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(folds))

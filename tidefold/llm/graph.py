@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import checkpoint
+from tidefold.llm.common import stored
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,22 +45,22 @@ def components(edges: DataFrame) -> DataFrame:
     nothing is gathered. Null ends and loops are ignored.
     """
     both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b")
-    live = checkpoint(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = checkpoint(live.select(F.col("a").alias("node")).union(live.select("b")).distinct())
+    live = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = stored(live.select(F.col("a").alias("node")).union(live.select("b")).distinct())
     labels = nodes.select("node", F.col("node").alias("root"))
     while not live.isEmpty():
         # the smallest neighbour of each node; nodes without a smaller one are roots
-        up = checkpoint(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+        up = stored(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
         for _ in range(3):
             above = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
             up = up.join(above, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
-        up = checkpoint(up)
+        up = stored(up)
 
         def raised(df: DataFrame, name: str, up: DataFrame = up) -> DataFrame:
             named = up.select(F.col("node").alias(name), F.col("up").alias("_up"))
             return df.join(named, name, "left").withColumn(name, F.coalesce("_up", name)).drop("_up")
 
-        labels = checkpoint(raised(labels, "root"))
+        labels = stored(raised(labels, "root"))
         ends = raised(raised(live, "a"), "b").where("a != b")
-        live = checkpoint(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        live = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels.select("node", "root")
