@@ -159,17 +159,19 @@ def _frequencies(docs: DataFrame, items: Items, n: int) -> dict[int, int]:
     return {r.gram % (1 << 64): r.n for r in counts.collect()}
 
 
-def seeds_of(items: Items, frequency: dict[int, int], span: int, tie: int = 2) -> np.ndarray:
+def seeds_of(items: Items, frequency: dict[int, int], span: int, tie: int = 2, rare: int = 100) -> np.ndarray:
     """Places in ``items.grams`` of the seeds: of every ``span`` consecutive n-grams
-    of an item the rarest, and all that are at most ``tie`` times as frequent."""
-    count = np.array([frequency.get(g, 0) for g in items.grams.tolist()], float)
+    of an item the rarest that occurs, those at most ``tie`` times as frequent, and
+    all that at most ``rare`` documents hold. What occurs nowhere finds nothing."""
+    count = np.array([frequency.get(g, 0) or np.inf for g in items.grams.tolist()], float)
     chosen = np.zeros(len(count), bool)
     for item in range(len(items.ids)):
-        at = np.flatnonzero(items.gram_item == item) if len(items.ids) < 512 else np.arange(*np.searchsorted(items.gram_item, [item, item + 1]))
+        at = np.arange(*np.searchsorted(items.gram_item, [item, item + 1]))
         for k in range(0, max(1, len(at) - span + 1)):
             window = at[k : k + span]
             if len(window):
-                chosen[window[count[window] <= tie * count[window].min()]] = True
+                most = max(tie * count[window].min(), rare)
+                chosen[window[(count[window] <= most) & np.isfinite(count[window])]] = True
     return np.flatnonzero(chosen)
 
 
