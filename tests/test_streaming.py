@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidefold.operators import Custom, DedupBy, Delta, FlatMap, Map, Stateful, TrackPrev
 from tidefold.plans import Fold
 from tidefold.plans.pipeline import Pipeline
-from tidefold.sources import stream
+from tidefold.sources import Feed, stream
 from tidefold.workloads import sensor
 
 SCHEMA = "seq bigint, k bigint, v double"
@@ -87,3 +87,23 @@ def test_restart_goes_on_from_the_checkpoint(spark, tmp_path) -> None:
         query.awaitTermination(120)
     expected = list(pipeline.receive(spark.createDataFrame(ROWS, SCHEMA)))
     assert sorted(map(key, found)) == sorted(map(key, expected))
+
+
+def test_feed_and_cursor(spark, tmp_path) -> None:
+    feed = Feed(spark, str(tmp_path / "feed"), spark.createDataFrame([], SCHEMA).schema)
+    feed.send((0, 1, 2.0))
+    counting = PIPE.stage(Stateful(["k"], {"n": Fold.count()}))
+    run = counting.start(feed.stream(), "fed", str(tmp_path / "cp"))
+    assert run.await_idle(120) and run.try_receive().n == 1 and run.try_receive() is None
+    feed.send((1, 1, 3.0), (2, 2, 1.0))
+    run.query.processAllAvailable()
+    assert [run.try_receive().n for _ in range(2)] == [2, 1] and run.output_size() == 3
+    run.stop()
+
+
+def test_idle_state_can_be_dropped(spark, tmp_path) -> None:
+    feed = Feed(spark, str(tmp_path / "feed"), spark.createDataFrame([], SCHEMA).schema)
+    feed.send((0, 1, 2.0))
+    run = PIPE.stage(Stateful(["k"], {"n": Fold.count()}, ttl_ms=3_600_000)).start(feed.stream(), "dropped", str(tmp_path / "cp"))
+    assert run.await_idle(120) and run.output_size() == 1
+    run.stop()

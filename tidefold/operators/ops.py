@@ -3,6 +3,8 @@
 Records are rows; their order is held in hidden columns that every operator
 carries on. An operator states its logic over columns, so that Catalyst sees
 through it, and is lowered twice: ``batch`` to windows, ``stream`` to keyed state.
+With ``ttl_ms`` a stream drops the state of a key that has been idle for so long;
+without, state is kept for ever, as in batch.
 """
 
 from __future__ import annotations
@@ -132,10 +134,10 @@ def _with_prev(df: DataFrame, keys: list[str], order: list[str], fields: list[st
     return df.withColumn(PREV, F.lag(held).over(ordered(keys, order)))
 
 
-def _stream_prev(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+def _stream_prev(ttl_ms: int | None) -> Callable[[DataFrame, list[str], list[str], list[str]], DataFrame]:
     from tidefold.streaming.state import with_previous
 
-    return with_previous(df, keys, order, fields, PREV)
+    return lambda df, keys, order, fields: with_previous(df, keys, order, fields, PREV, ttl_ms)
 
 
 @dataclass(frozen=True)
@@ -148,6 +150,7 @@ class DedupBy(Operator):
 
     key: list[str]
     compare: list[str] | None = None
+    ttl_ms: int | None = None
 
     def keys(self) -> list[str]:
         return self.key
@@ -164,7 +167,7 @@ class DedupBy(Operator):
         return self._apply(df, order, _with_prev)
 
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
-        return self._apply(df, order, _stream_prev)
+        return self._apply(df, order, _stream_prev(self.ttl_ms))
 
 
 @dataclass(frozen=True)
@@ -177,6 +180,7 @@ class Delta(Operator):
 
     key: list[str]
     fn: Callable[[Record, Record], tuple[Column | None, dict[str, Column]]]
+    ttl_ms: int | None = None
 
     def keys(self) -> list[str]:
         return self.key
@@ -191,7 +195,7 @@ class Delta(Operator):
         return self._apply(df, order, _with_prev)
 
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
-        return self._apply(df, order, _stream_prev)
+        return self._apply(df, order, _stream_prev(self.ttl_ms))
 
 
 @dataclass(frozen=True)
@@ -200,6 +204,7 @@ class Stateful(Operator):
 
     key: list[str]
     folds: dict[str, Fold]
+    ttl_ms: int | None = None
 
     def keys(self) -> list[str]:
         return self.key
@@ -216,7 +221,7 @@ class Stateful(Operator):
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
         from tidefold.streaming.state import running_folds
 
-        return running_folds(df, self.key, order, self.folds), order
+        return running_folds(df, self.key, order, self.folds, self.ttl_ms), order
 
 
 @dataclass(frozen=True)
@@ -229,6 +234,7 @@ class TrackPrev(Operator):
     """
 
     key: list[str] | None = None
+    ttl_ms: int | None = None
 
     def keys(self) -> list[str] | None:
         return self.key
@@ -243,7 +249,7 @@ class TrackPrev(Operator):
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
         names = data_columns(df, order)
         keyed = df if self.key else df.withColumn("_all", F.lit(0))
-        return self._tracked(_stream_prev(keyed, self.key or ["_all"], order, names), names, order)
+        return self._tracked(_stream_prev(self.ttl_ms)(keyed, self.key or ["_all"], order, names), names, order)
 
     def _tracked(self, df: DataFrame, names: list[str], order: list[str]) -> tuple[DataFrame, list[str]]:
         has = F.col(PREV).isNotNull()
@@ -264,6 +270,7 @@ class Custom(Operator):
     make: Callable[[], Any]
     step: Callable[[Any, dict], Iterable[dict]]
     schema: str
+    ttl_ms: int | None = None
 
     def keys(self) -> list[str]:
         return self.key
@@ -292,7 +299,7 @@ class Custom(Operator):
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
         from tidefold.streaming.state import custom_stage
 
-        return custom_stage(df, self.key, order, self.make, self.step, self.schema)
+        return custom_stage(df, self.key, order, self.make, self.step, self.schema, self.ttl_ms)
 
 
 @dataclass(frozen=True)

@@ -117,8 +117,10 @@ class StreamRun:
             if not self.query.isActive:
                 self.failed()
                 return True
-            status = self.query.status
-            if not status["isDataAvailable"] and not status["isTriggerActive"] and self.query.lastProgress is not None:
+            status, progress = self.query.status, self.query.lastProgress
+            if progress is not None and progress["numInputRows"] == 0 and progress["batchId"] > 0:
+                return True  # state with a time to live has batches without data
+            if not status["isDataAvailable"] and not status["isTriggerActive"] and progress is not None:
                 self.query.processAllAvailable()
                 return True
             time.sleep(0.05)

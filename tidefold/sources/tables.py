@@ -1,7 +1,10 @@
-"""Parquet tables, read in batch or as a stream with an explicit schema."""
+"""Parquet tables, read in batch or as a stream; a feed that records are sent to."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -20,3 +23,27 @@ def stream(
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(path)
     )
+
+
+@dataclass(frozen=True)
+class Feed:
+    """A folder of small files that records are sent to, and a stream of them.
+
+    Each ``send`` is one file, so a batch of records arrives as a whole.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: StructType
+
+    def send(self, *records: tuple | dict) -> None:
+        """Appends records."""
+        self.send_all(records)
+
+    def send_all(self, records: Iterable[tuple | dict]) -> None:
+        """Appends many records at once."""
+        self.spark.createDataFrame(list(records), self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+    def stream(self, max_files_per_trigger: int = 1) -> DataFrame:
+        """What has been and will be sent."""
+        return stream(self.spark, self.path, self.schema, max_files_per_trigger)

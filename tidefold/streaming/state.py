@@ -42,10 +42,10 @@ class _Pickled(StatefulProcessor):
 
 
 def _keyed(df: DataFrame, key: list[str], order: list[str], update: Callable, schema: StructType, ttl_ms: int | None = None) -> DataFrame:
-    return df.groupBy(*key).transformWithState(_Pickled(order, schema.names, update, ttl_ms), schema, "Append", "None")
+    return df.groupBy(*key).transformWithState(_Pickled(order, schema.names, update, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
-def with_previous(df: DataFrame, key: list[str], order: list[str], fields: list[str], name: str) -> DataFrame:
+def with_previous(df: DataFrame, key: list[str], order: list[str], fields: list[str], name: str, ttl_ms: int | None = None) -> DataFrame:
     """Every record with the struct ``name`` of its key's previous record."""
     kept = StructType([df.schema[f] for f in fields]) if fields else StructType([StructField("_", BooleanType())])
     schema = StructType([*df.schema.fields, StructField(name, kept, True)])
@@ -56,10 +56,10 @@ def with_previous(df: DataFrame, key: list[str], order: list[str], fields: list[
         before = None if state is None else Row(**dict(zip(kept.names, state, strict=True)))
         return now, [(*[row[c] for c in columns], before)]
 
-    return _keyed(df, key, order, update, schema)
+    return _keyed(df, key, order, update, schema, ttl_ms)
 
 
-def running_folds(df: DataFrame, key: list[str], order: list[str], folds: dict[str, Fold]) -> DataFrame:
+def running_folds(df: DataFrame, key: list[str], order: list[str], folds: dict[str, Fold], ttl_ms: int | None = None) -> DataFrame:
     """The keys, the folds' values after each record, and the order columns."""
     from tidefold.operators.ops import Record
 
@@ -74,10 +74,10 @@ def running_folds(df: DataFrame, key: list[str], order: list[str], folds: dict[s
         values = [None if s is None else f.result(s) for f, s in zip(parts, state, strict=True)]
         return state, [(*[row[k] for k in key], *values, *[row[o] for o in order])]
 
-    return _keyed(slim, key, order, update, schema)
+    return _keyed(slim, key, order, update, schema, ttl_ms)
 
 
-def custom_stage(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Any], step: Callable[[Any, dict], Iterable[dict]], schema: str) -> tuple[DataFrame, list[str]]:
+def custom_stage(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Any], step: Callable[[Any, dict], Iterable[dict]], schema: str, ttl_ms: int | None = None) -> tuple[DataFrame, list[str]]:
     """A Python stage by key; outputs of one record are numbered in a new order column."""
     pos = f"_o{len(order)}"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -88,4 +88,4 @@ def custom_stage(df: DataFrame, key: list[str], order: list[str], make: Callable
         found = [(*[out[n] for n in names], *[row[o] for o in order], i) for i, out in enumerate(step(state, row.asDict()))]
         return state, found
 
-    return _keyed(df, key, order, update, shape), [*order, pos]
+    return _keyed(df, key, order, update, shape, ttl_ms), [*order, pos]
