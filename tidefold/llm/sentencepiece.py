@@ -37,7 +37,7 @@ BLANK = "▁"
 LITERAL = "\ud800"
 CHUNK = 1 << 20
 #: Edges of the lattices that a task keeps for units it may meet again.
-STORED_EDGES = 4_000_000
+STORED_EDGES = 2_000_000
 #: Steps of a path whose nodes are looked at first.
 NODES = 256
 _ALL = (1 << 64) - 1
@@ -92,7 +92,7 @@ def read_model(path: str = MODEL, alpha: float = 1.0) -> Vocabulary:
 class Trie:
     """The usable pieces as a trie, looked up by vectors of (node, symbol)."""
 
-    BITS = 20
+    BITS = 18
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
