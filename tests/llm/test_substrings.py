@@ -71,5 +71,26 @@ def test_slices_of_long_documents(spark, monkeypatch) -> None:
     assert got == {i: v for (i, _), v in brute(rows).items()}
 
 
+def test_hot_line_in_many_contexts(spark, monkeypatch) -> None:
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    line, longer = "all rights reserved by the owners of it 45678", "this line has rather more bytes than a window, so all of it repeats"
+    rows = [(i, f"{word()} {word()} {rng.choice('xyz')}{line}{rng.choice('pqr')} {word()} {word()} {word()}{longer}{word()}") for i in range(150)]
+    rows += [(i, f"{line}{rng.choice('pqr')} a {line}{rng.choice('pqr')} b {line}") for i in range(150, 170)]
+    rng.shuffle(rows)
+    sort = substrings._sorted_pieces
+
+    def bounded(ids, pieces, length):
+        assert sum(map(len, pieces)) <= 2 * 2000, "a whole key is sorted at once"
+        return sort(ids, pieces, length)
+
+    monkeypatch.setattr(substrings, "SORTED", 2000)
+    monkeypatch.setattr(substrings, "HELD", 100, raising=False)
+    monkeypatch.setattr(substrings, "_sorted_pieces", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(df).collect()}
+    assert got == {i: v for (i, _), v in brute(rows).items()}
+
+
 def test_nothing(spark) -> None:
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []

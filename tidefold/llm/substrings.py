@@ -8,21 +8,25 @@ a document. Then, each step handing less to the next:
 1. Each anchor sends its hash, a hash of its stretch and the document to a shard,
    once a batch of documents and stretch. The shard tells which anchors occur in
    several documents at all, and settles stretches that are equal as a whole.
+   Of an anchor with more entries than a task holds, all stretches are looked at.
 2. Of stretches that share an anchor and differ, one copy each is cut into pieces
    around wider anchors and sent to a shard, which sorts all suffixes of its pieces
-   by external induced sorting. Runs of suffixes with a common prefix of a window or
+   by induced sorting. Runs of suffixes with a common prefix of a window or
    more are equal windows; the least document of a run keeps it.
-3. The covered stretches go back to their documents.
+3. A key with more than ``SORTED`` bytes of pieces is not sorted. Its windows, folded
+   piece by piece, are dealt anew by their own hashes over all tasks.
+4. The covered stretches go back to their documents.
 
-Stretches are compared by hashes of 64 bits of the k-grams they hold, suffixes by
-their bytes.
+So no task holds all pieces of a frequent line. Stretches are compared by hashes of
+64 bits of the k-grams they hold, suffixes by their bytes, windows that are dealt
+anew by hashes of 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import checkpoint, utf8
+from tidefold.llm.common import checkpoint, stored, utf8
 from tidefold.llm.suffix import suffix_array
 
 #: Bytes of a window.
@@ -42,6 +46,8 @@ CLASS = 12
 #: Bytes of documents that are hashed at once, and of pieces sorted at once.
 CHUNK = 1 << 18
 SORTED = 1 << 21
+#: Entries of a shard that a task holds.
+HELD = 1 << 20
 #: Bytes of text whose anchors a shard holds, about.
 SHARD_BYTES = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -228,39 +234,74 @@ def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return _said(ids[use], _entry(h[use], s[use]), ~later[use])
 
 
-def _by_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Consecutive rows of one shard."""
-    held: list[tuple] = []
-    current = None
-    for batch in rows:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and row[0] != current:
-                yield current, held
-                held = []
-            current = row[0]
-            held.append(row)
-    if held:
-        yield current, held
+def _settle_open(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Replies to some of the entries of anchors: later ones of equal stretches are
+    covered whole, and the least of each is to be looked at, whatever the others hold."""
+    if not len(h):
+        return _said(ids, h, np.zeros(0, bool))
+    order = np.lexsort((ids, s, h))
+    h, s, ids = h[order], s[order], ids[order]
+    head = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+    return _said(ids, _entry(h, s), ids <= ids[head][np.cumsum(head) - 1])
+
+
+class _Shard:
+    """Settles a shard's entries as they come. Beyond ``HELD`` the most frequent anchors
+    are opened: their entries are settled part by part and no longer held."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size, self.opened = 0, np.zeros(0, np.uint64)
+
+    def add(self, pairs: bytes, ids: bytes) -> Iterator[pa.RecordBatch]:
+        both = np.frombuffer(pairs, np.uint64).reshape(-1, 2)
+        self.parts.append((both[:, 0], both[:, 1], _unpack_ids(ids)))
+        self.size += len(both)
+        if self.size > HELD:
+            h, s, owners = self._joined()
+            keys, n = np.unique(h, return_counts=True)
+            n[np.isin(keys, self.opened)] = len(h)
+            order = np.argsort(-n, kind="stable")
+            more = np.searchsorted(np.minimum(np.cumsum(n[order]), len(h)), len(h) - HELD // 2) + 1
+            self.opened = np.union1d(self.opened, keys[order[:more]])
+            out = np.isin(h, self.opened)
+            yield _settle_open(h[out], s[out], owners[out])
+            self.parts, self.size = [(h[~out], s[~out], owners[~out])], int((~out).sum())
+
+    def _joined(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate([p[k] for p in self.parts]) for k in range(3))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is still held."""
+        h, s, owners = self._joined()
+        out = np.isin(h, self.opened)
+        yield _settle_open(h[out], s[out], owners[out])
+        yield _settle(h[~out], s[~out], owners[~out])
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], passes: Callable, new: Callable, add: Callable) -> Iterator[pa.RecordBatch]:
+    """Hands on the rows that pass, and gives the others, sorted by shard, one by one to
+    their shard's state, which says what it settles at once and in the end."""
+    current, state = None, None
+    for batch in batches:
+        through = passes(batch)
+        if pc.any(through).as_py():
+            yield batch.filter(through)
+        for row in zip(*[c.to_pylist() for c in batch.filter(pc.invert(through)).columns], strict=True):
+            if state is None or row[0] != current:
+                if state is not None:
+                    yield from state.rest()
+                current, state = row[0], new()
+            yield from add(state, row)
+    if state is not None:
+        yield from state.rest()
 
 
 def _replies(entries: DataFrame) -> DataFrame:
     """(id, entry, mixed) of what the shards and the batches settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: list[pa.RecordBatch] = []
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                known = batch.column(3).is_valid()
-                said.append(batch.filter(known))
-                yield batch.filter(pc.invert(known))
-
-        for _, rows in _by_shard(sent()):
-            yield from said
-            said.clear()
-            pairs = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, 2) for r in rows])
-            yield _settle(pairs[:, 0], pairs[:, 1], np.concatenate([_unpack_ids(r[2]) for r in rows]))
-        yield from said
+        yield from _by_shard(batches, lambda batch: batch.column(3).is_valid(), _Shard, lambda shard, row: shard.add(row[1], row[2]))
 
     dealt = entries.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, _ENTRIES).select("id", "entry", "mixed")
@@ -374,57 +415,145 @@ def _sorted_pieces(ids: np.ndarray, pieces: list[bytes], length: int) -> list[np
     return [hit[cut[i] : cut[i + 1]] - starts[i] for i in range(len(pieces))]
 
 
-def _settled(pieces: DataFrame, length: int) -> DataFrame:
-    """(kind, id, a, b): covered intervals as they come (kind 1); of pieces with repeated
-    windows, from sorting their suffixes, the entry and the windows (kind 0)."""
+def _told(ids: np.ndarray, names: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Windows that repeat, one a row, as a list for each document's entry."""
+    order = np.lexsort((at, names, ids))
+    ids, names, at = ids[order], names[order], at[order]
+    cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (names[1:] != names[:-1])) + 1
+    heads = np.append(0, cuts)[: len(ids)].astype(np.int64)
+    windows = [w.tobytes() for w in np.split(at, cuts)][: len(heads)]
+    return _rows([0] * len(heads), [0] * len(heads), ids[heads].tolist(), [n.tobytes() for n in names[heads]], windows)
+
+
+def _least_windows(keys: np.ndarray, owners: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Of equal windows, those of later documents as answers; keys and owners of the least's."""
+    if not len(keys):
+        return _told(*owners.T), keys, owners
+    order = np.lexsort((owners[:, 0], keys[:, 1], keys[:, 0]))
+    keys, owners = keys[order], owners[order]
+    head = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+    later = owners[:, 0] > owners[head, 0][np.cumsum(head) - 1]
+    return _told(*owners[later].T), keys[~later], owners[~later]
+
+
+class _Key:
+    """Settles the pieces of one key; beyond ``SORTED`` bytes they leave as windows."""
+
+    def __init__(self, sorter: _Sorter) -> None:
+        self.sorter = sorter
+        self.rows: list[tuple] = []
+        self.size, self.spread = 0, False
+
+    def add(self, row: tuple) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        self.size += len(row[4])
+        if self.size > SORTED:
+            self.spread = True
+            yield from self._windows()
+            self.rows, self.size = [], 0
+
+    def _windows(self) -> Iterator[pa.RecordBatch]:
+        length = self.sorter.length
+        n = np.array([len(r[4]) - length + 1 for r in self.rows])
+        hashes = b"".join(hashlib.blake2b(r[4][k : k + length], digest_size=16).digest() for r in self.rows for k in range(len(r[4]) - length + 1))
+        named = np.frombuffer(b"".join(r[3] for r in self.rows), np.int64).reshape(-1, 2)
+        ids = np.array([r[2] for r in self.rows], np.int64)
+        owners = np.repeat(np.column_stack([ids, named[:, 0], named[:, 1] - np.cumsum(n) + n]), n, axis=0)
+        owners[:, 2] += np.arange(len(owners))
+        told, keys, owners = _least_windows(np.frombuffer(hashes, np.uint64).reshape(-1, 2), owners)
+        yield told
+        shard = (keys[:, 0] % np.uint64(self.sorter.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        shard, keys, owners = shard[order], keys[order], owners[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        yield _rows([int(shard[i]) for i, _ in spans], [2] * len(spans), [0] * len(spans), [keys[i:j].tobytes() for i, j in spans], [owners[i:j].tobytes() for i, j in spans])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is still held."""
+        if self.spread:
+            if self.rows:
+                yield from self._windows()
+        elif len({r[2] for r in self.rows}) > 1:  # or no other document has its key
+            yield from self.sorter.settle(self.rows)
+
+
+class _Sorter:
+    """Sorts the pieces of many keys together."""
+
+    def __init__(self, length: int, shards: int) -> None:
+        self.length, self.shards = length, shards
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def settle(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # of equal pieces the least document's is sorted; all windows of later ones repeat
+        least: dict[bytes, tuple] = {}
+        for r in rows:
+            if r[4] not in least or r[2] < least[r[4]][2]:
+                least[r[4]] = r
+        equal = [(r, np.arange(len(r[4]) - self.length + 1)) for r in rows if r[2] > least[r[4]][2]]
+        if equal:
+            yield self._answers(equal)
+        if len(least) > 1:
+            self.held += least.values()
+            self.size += sum(map(len, least))
+            if self.size > SORTED:
+                yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        found = _sorted_pieces(np.array([r[2] for r in self.held], np.int64), [r[4] for r in self.held], self.length)
+        out = [(r, w) for r, w in zip(self.held, found, strict=True) if len(w)]
+        self.held, self.size = [], 0
+        return self._answers(out)
+
+    def _answers(self, out: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+        windows = [np.asarray(w + int.from_bytes(r[3][8:], "little"), np.int64).tobytes() for r, w in out]
+        return _rows([0] * len(out), [0] * len(out), [r[2] for r, _ in out], [r[3][:8] for r, _ in out], windows)
+
+
+def _settled(pieces: DataFrame, length: int, shards: int) -> DataFrame:
+    """(shard, kind, id, a, b): covered intervals as they come (kind 1); of pieces with
+    repeated windows, the entry and the windows (kind 0); windows of keys with too many
+    pieces, packed by shard (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        passing: list[pa.RecordBatch] = []
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                whole = pc.equal(batch.column(1), 1)
-                passing.append(batch.filter(whole))
-                yield batch.filter(pc.invert(whole))
-
-        def flush() -> pa.RecordBatch:
-            found = _sorted_pieces(np.array([r[2] for r in held], np.int64), [r[4] for r in held], length)
-            out = [(r, w) for r, w in zip(held, found, strict=True) if len(w)]
-            return told(out)
-
-        def told(out: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
-            windows = [np.asarray(w + int.from_bytes(r[3][8:], "little"), np.int64).tobytes() for r, w in out]
-            return _rows([0] * len(out), [0] * len(out), [r[2] for r, _ in out], [r[3][:8] for r, _ in out], windows)
-
-        for _, rows in _by_shard(sent()):
-            yield from passing
-            passing.clear()
-            if len({r[2] for r in rows}) < 2:
-                continue  # no other document has its key
-            # of equal pieces the least document's is sorted; all windows of later ones repeat
-            least: dict[bytes, tuple] = {}
-            for r in rows:
-                if r[4] not in least or r[2] < least[r[4]][2]:
-                    least[r[4]] = r
-            equal = [(r, np.arange(len(r[4]) - length + 1)) for r in rows if r[2] > least[r[4]][2]]
-            if equal:
-                yield told(equal)
-            if len(least) > 1:
-                held += least.values()
-                size += sum(map(len, least))
-                if size > SORTED:
-                    yield flush()
-                    held, size = [], 0
-        yield from passing
-        if held:
-            yield flush()
+        sorter = _Sorter(length, shards)
+        yield from _by_shard(batches, lambda batch: pc.equal(batch.column(1), 1), lambda: _Key(sorter), lambda key, row: key.add(row))
+        if sorter.held:
+            yield sorter.flush()
 
     # what is covered whole passes, spread by document
     spread = F.when(F.col("kind") == 1, F.xxhash64("id")).otherwise(F.col("shard"))
     dealt = pieces.withColumn("shard", spread).repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, _SHAPE).select("kind", "id", "a", "b")
+    return dealt.mapInArrow(run, _SHAPE)
+
+
+class _Windows:
+    """Settles the windows of a shard."""
+
+    def __init__(self) -> None:
+        self.keys: list[bytes] = []
+        self.owners: list[bytes] = []
+
+    def add(self, row: tuple) -> Iterator[pa.RecordBatch]:
+        self.keys.append(row[3])
+        self.owners.append(row[4])
+        return iter(())
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """Repeated windows of later documents."""
+        keys, owners = np.frombuffer(b"".join(self.keys), np.uint64), np.frombuffer(b"".join(self.owners), np.int64)
+        yield _least_windows(keys.reshape(-1, 2), owners.reshape(-1, 3))[0]
+
+
+def _windows_settled(windows: DataFrame) -> DataFrame:
+    """As ``_settled`` (kind 0), of windows dealt by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_shard(batches, lambda batch: pc.equal(batch.column(1), 1), _Windows, lambda shard, row: shard.add(row))
+
+    return windows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _SHAPE)
 
 
 def _release(df: DataFrame) -> None:
@@ -459,9 +588,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     del replies
     _release(docs)
     pieces = _looked_at(named.join(asked, "id").select("id", "text", "full", "mixed"), length)
-    found = _settled(pieces, length).groupBy("id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("m"))
+    settled = stored(_settled(pieces, length, shards))
+    del pieces, asked
+    _release(docs)
+    answers = settled.where("kind < 2").unionByName(_windows_settled(settled.where("kind = 2")))
+    found = answers.groupBy("id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("m"))
     marks = checkpoint(found)
-    del found, pieces, asked
+    del found, answers, settled
     _release(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
