@@ -142,6 +142,23 @@ def test_decontamination(spark) -> None:
     assert hit.score == 1.0 and (hit.first_word, hit.n_words) == (200, 30)
 
 
+def found_by(items: list, texts: list, threshold: float = 0.6, seeds=None) -> dict:
+    block = decontaminate.items_of(list(range(len(items))), [" ".join(i).encode() for i in items], 3)
+    given = [block] if seeds is None else [block, seeds(block)]
+    find = decontaminate._finder(*given, 3, threshold)()
+    return {(d, i): s for d, i, s, *_ in find([" ".join(t).encode() for t in texts])}
+
+
+def test_blocks_put_into_copies() -> None:
+    item = [f"w{i}" for i in range(40)]
+    for block in (20, 26, 28, 30, 31, 32):
+        for at in (8, 20, 33):
+            texts = [[f"f{k}" for k in range(before)] + item[:at] + [f"x{k}" for k in range(block)] + item[at:] + ["e"] * 90 for before in range(0, 120, 3)]
+            true = smith_waterman(item, texts[5]) / 80
+            got = found_by([item], texts, seeds=lambda b: np.arange(len(b.grams)))
+            assert got == ({(d, 0): true for d in range(len(texts))} if true >= 0.6 else {}), (block, at)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return sentencepiece.read_model(alpha=0.2)

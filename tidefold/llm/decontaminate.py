@@ -213,26 +213,39 @@ def _hits(texts: list[bytes], items: Items, look: Lookup, where: dict[int, list[
             # one window for diagonals that are near each other
             tasks.add((doc, item, start // max(1, size // 2)))
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    order = sorted(tasks, key=lambda t: (items.sizes[t[1]], t))
+    # an alignment at the threshold has at most so many gaps on either side of a seed's diagonal
+    slack = np.ceil((1 - threshold) * MATCH / -GAP * items.sizes).astype(int).tolist()
+    windows: list[list[int]] = []
+    for doc, item, bucket in sorted(tasks):
+        size = int(items.sizes[item])
+        half = max(1, size // 2)
+        begin, stop = max(0, bucket * half - slack[item]), min(int(counts[doc]), (bucket + 1) * half + size + slack[item])
+        if windows and windows[-1][:2] == [doc, item] and begin <= windows[-1][3]:
+            windows[-1][3] = max(stop, windows[-1][3])
+        else:
+            windows.append([doc, item, begin, stop])
+    order = sorted(windows, key=lambda w: (items.sizes[w[1]], w[3] - w[2], w))
     i = 0
     while i < len(order):
-        widest = int(items.sizes[order[i][1]])
-        lanes = max(1, LANES // max(1, 3 * widest))
-        part = [t for t in order[i : i + lanes] if items.sizes[t[1]] <= 2 * widest]
-        i += len(part)
-        sizes = np.array([items.sizes[t[1]] for t in part])
+        widest, j, longest = int(items.sizes[order[i][1]]), i, 0
+        while j < len(order) and items.sizes[order[j][1]] <= 2 * widest:
+            longest = max(longest, order[j][3] - order[j][2])
+            if j > i and (j - i + 1) * longest > LANES // 2:
+                break
+            j += 1
+        part, i = order[i:j], j
+        sizes = np.array([items.sizes[w[1]] for w in part])
         widest = int(sizes.max())
-        begin = np.array([max(0, (t[2] * max(1, int(s) // 2)) - int(s) // 2) for t, s in zip(part, sizes, strict=True)])
-        stop = np.array([min(int(counts[t[0]]), (t[2] + 1) * max(1, int(s) // 2) + int(s) + int(s) // 2) for t, s in zip(part, sizes, strict=True)])
-        length = np.maximum(stop - begin, 0)
+        begin = np.array([w[2] for w in part])
+        length = np.maximum(np.array([w[3] for w in part]) - begin, 0)
         query = np.zeros((len(part), widest), np.uint64)
         target = np.zeros((len(part), max(1, int(length.max()))), np.uint64)
-        for k, (doc, item, _) in enumerate(part):
+        for k, (doc, item, *_) in enumerate(part):
             query[k, : sizes[k]] = items.words[items.starts[item] : items.starts[item] + sizes[k]]
             target[k, : length[k]] = words[first[doc] + begin[k] : first[doc] + begin[k] + length[k]]
         best, end = align(query, sizes, target, length)
         for k in np.flatnonzero(best >= threshold * MATCH * sizes):
-            doc, item, _ = part[k]
+            doc, item = part[k][:2]
             score = float(best[k]) / (MATCH * int(sizes[k]))
             row = (score, int(begin[k] + end[k] - sizes[k] + 1), int(sizes[k]))
             if row > found.get((doc, item), (-1.0, 0, 0)):
