@@ -142,10 +142,9 @@ def test_decontamination(spark) -> None:
     assert hit.score == 1.0 and (hit.first_word, hit.n_words) == (200, 30)
 
 
-def found_by(items: list, texts: list, threshold: float = 0.6, seeds=None) -> dict:
+def found_by(items: list, texts: list, threshold: float = 0.6) -> dict:
     block = decontaminate.items_of(list(range(len(items))), [" ".join(i).encode() for i in items], 3)
-    given = [block] if seeds is None else [block, seeds(block)]
-    find = decontaminate._finder(*given, 3, threshold)()
+    find = decontaminate._finder(block, 3, threshold)()
     return {(d, i): s for d, i, s, *_ in find([" ".join(t).encode() for t in texts])}
 
 
@@ -155,10 +154,23 @@ def test_blocks_put_into_copies() -> None:
         for at in (8, 20, 33):
             texts = [[f"f{k}" for k in range(before)] + item[:at] + [f"x{k}" for k in range(block)] + item[at:] + ["e"] * 90 for before in range(0, 120, 3)]
             true = smith_waterman(item, texts[5]) / 80
-            got = found_by([item], texts, seeds=lambda b: np.arange(len(b.grams)))
+            got = found_by([item], texts)
             assert got == ({(d, 0): true for d in range(len(texts))} if true >= 0.6 else {}), (block, at)
 
 
+def test_seeds_do_not_thin_as_the_corpus_grows(spark) -> None:
+    item = [f"w{i}" for i in range(30)]
+    # of the copy only the phrase w10 to w14 is whole; it is frequent, all others of the item are rare
+    copy = [w if i in (12, 13, 14) or i % 3 else None for i, w in enumerate(item)]
+    copy = [w or f"y{i}" for i, w in enumerate(copy)]
+    assert smith_waterman(item, copy) >= 0.5 * 60
+    for times in (1, 300):
+        texts = [" ".join(copy), " ".join(item), *[f"{i} w10 w11 w12 w13 w14 {i}" for i in range(times)]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+        assert sorted(r.id for r in decontaminate.search(docs, bench, threshold=0.5).collect()) == [0, 1], times
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return sentencepiece.read_model(alpha=0.2)

@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-Word n-grams of the test items are counted in the corpus, and of every few
-consecutive n-grams of an item the rarest are its seeds, so seeds cover the whole
-item and common phrases seed only where nothing rarer is near. A document that
-holds a seed is aligned with the item around it by Smith-Waterman over words, so
-edited and paraphrased copies keep a high score. The items are taken in blocks of
-bounded size, each against all documents.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
+
+Every word n-gram of a test item is a seed, whatever its frequency, so what is found
+does not depend on the size of the corpus. A document that holds a seed and, around
+it, enough words of the item for the threshold is aligned with the item there by
+Smith-Waterman over words, so edited and paraphrased copies keep a high score. The
+items are taken in blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -138,43 +137,6 @@ def _docs_grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.
     return words, first, np.where(valid, grams, np.uint64(0)), owner
 
 
-def _frequencies(docs: DataFrame, items: Items, n: int) -> dict[int, int]:
-    """Documents that hold each n-gram of the items."""
-    keys = items.grams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(keys)
-        total = np.zeros(len(look.keys), np.int64)
-        for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column(1))]
-            for i, j in chunks([len(t) for t in texts]):
-                _, _, grams, owner = _docs_grams(texts[i:j], n)
-                at = look.find(grams)
-                pairs = np.unique(owner[at] * len(look.keys) + np.searchsorted(look.keys, grams[at]))
-                total += np.bincount(pairs % len(look.keys), minlength=len(look.keys)) if len(pairs) else 0
-        on = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(look.keys[on].view(np.int64)), pa.array(total[on])], ["gram", "n"])
-
-    counts = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram % (1 << 64): r.n for r in counts.collect()}
-
-
-def seeds_of(items: Items, frequency: dict[int, int], span: int, tie: int = 2, rare: int = 100) -> np.ndarray:
-    """Places in ``items.grams`` of the seeds: of every ``span`` consecutive n-grams
-    of an item the rarest that occurs, those at most ``tie`` times as frequent, and
-    all that at most ``rare`` documents hold. What occurs nowhere finds nothing."""
-    count = np.array([frequency.get(g, 0) or np.inf for g in items.grams.tolist()], float)
-    chosen = np.zeros(len(count), bool)
-    for item in range(len(items.ids)):
-        at = np.arange(*np.searchsorted(items.gram_item, [item, item + 1]))
-        for k in range(0, max(1, len(at) - span + 1)):
-            window = at[k : k + span]
-            if len(window):
-                most = max(tie * count[window].min(), rare)
-                chosen[window[(count[window] <= most) & np.isfinite(count[window])]] = True
-    return np.flatnonzero(chosen)
-
-
 def align(query: np.ndarray, size: np.ndarray, target: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best Smith-Waterman score of each lane and the target place it ends at.
 
@@ -199,24 +161,25 @@ def align(query: np.ndarray, size: np.ndarray, target: np.ndarray, length: np.nd
     return best, end
 
 
-def _hits(texts: list[bytes], items: Items, look: Lookup, where: dict[int, list[tuple[int, int]]], n: int, threshold: float) -> list[tuple[int, int, float, int, int]]:
+def _hits(texts: list[bytes], items: Items, look: Lookup, ranked: np.ndarray, n: int, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, words) of the best alignment of each pair at the threshold or over."""
     words, first, grams, owner = _docs_grams(texts, n)
     counts = np.diff(np.append(first, len(words)))
     at = look.find(grams)
-    tasks: set[tuple[int, int, int]] = set()
-    for place, gram in zip(at.tolist(), grams[at].tolist(), strict=True):
-        doc = int(owner[place])
-        for item, offset in where[gram]:
-            size = int(items.sizes[item])
-            start = place - offset - int(first[doc])
-            # one window for diagonals that are near each other
-            tasks.add((doc, item, start // max(1, size // 2)))
+    # each seed's places in the items; ``ranked`` is their order by hash
+    keys = items.grams[ranked]
+    low = np.searchsorted(keys, grams[at])
+    times = np.searchsorted(keys, grams[at], side="right") - low
+    seed = ranked[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+    place, which = np.repeat(at, times), items.gram_item[seed]
+    start = place - items.gram_at[seed] - first[owner[place]]
+    # one window for diagonals that are near each other
+    tasks = np.unique(np.column_stack([owner[place], which, start // np.maximum(1, items.sizes[which] // 2)]), axis=0).tolist()
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     # an alignment at the threshold has at most so many gaps on either side of a seed's diagonal
     slack = np.ceil((1 - threshold) * MATCH / -GAP * items.sizes).astype(int).tolist()
     windows: list[list[int]] = []
-    for doc, item, bucket in sorted(tasks):
+    for doc, item, bucket in tasks:
         size = int(items.sizes[item])
         half = max(1, size // 2)
         begin, stop = max(0, bucket * half - slack[item]), min(int(counts[doc]), (bucket + 1) * half + size + slack[item])
@@ -224,6 +187,9 @@ def _hits(texts: list[bytes], items: Items, look: Lookup, where: dict[int, list[
             windows[-1][3] = max(stop, windows[-1][3])
         else:
             windows.append([doc, item, begin, stop])
+    # a word of the item that the window lacks is no match; without enough of them no alignment can do
+    held = lambda doc, item, begin, stop: np.isin(items.words[items.starts[item] : items.starts[item] + items.sizes[item]], words[first[doc] + begin : first[doc] + stop]).sum()
+    windows = [w for w in windows if held(*w) >= threshold * items.sizes[w[1]]]
     order = sorted(windows, key=lambda w: (items.sizes[w[1]], w[3] - w[2], w))
     i = 0
     while i < len(order):
@@ -253,18 +219,18 @@ def _hits(texts: list[bytes], items: Items, look: Lookup, where: dict[int, list[
     return [(d, i, *r) for (d, i), r in sorted(found.items())]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, span: int = 6, threshold: float = 0.6) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
     """(id, item, score, first_word, n_words) for every contaminated pair.
 
     ``score`` is that of the best local alignment over the score of the whole item
     verbatim; pairs at ``threshold`` or over are returned, with the document's
     words that the item falls on. An item with fewer than ``n`` words has no seed
     and matches nothing, and so do null and empty texts. Repeated documents and
-    items give a row for each pair of rows. Copies of an item that keep no seed,
-    that is none of its rarer n-word phrases, are not found.
+    items give a row for each pair of rows. Copies of an item that keep none of its
+    n-word phrases are not found.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    parts = [_search_block(chosen, block, n, span, threshold) for block in _blocks(benchmark, item_col, item_text_col, n)]
+    parts = [_search_block(chosen, block, n, threshold) for block in _blocks(benchmark, item_col, item_text_col, n)]
     if not parts:
         return docs.sparkSession.createDataFrame([], "id long, item long, score double, first_word long, n_words long")
     out = parts[0]
@@ -273,12 +239,11 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, span: int = 6, threshold: float = 0.6) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item as ``search`` finds them."""
     lowered = F.lower(F.col(text_col).cast("string"))
     for items in _blocks(benchmark, item_col, item_text_col, n):
-        texts = docs.select(F.lit(0).alias("id"), lowered.alias("text"))
-        finder = _finder(items, seeds_of(items, _frequencies(texts, items, n), span), n, threshold)
+        finder = _finder(items, n, threshold)
         marked = docs.select(lowered.alias("_lowered"), *docs.columns)
 
         def run(batches: Iterator[pa.RecordBatch], finder: Callable = finder) -> Iterator[pa.RecordBatch]:
@@ -293,19 +258,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return docs
 
 
-def _finder(items: Items, seeds: np.ndarray, n: int, threshold: float) -> Callable[[], Callable[[list[bytes]], list[tuple[int, int, float, int, int]]]]:
+def _finder(items: Items, n: int, threshold: float) -> Callable[[], Callable[[list[bytes]], list[tuple[int, int, float, int, int]]]]:
     """Builds, on an executor, the search of a block of items in a list of texts."""
 
     def build() -> Callable[[list[bytes]], list[tuple[int, int, float, int, int]]]:
-        look = Lookup(items.grams[seeds])
-        where: dict[int, list[tuple[int, int]]] = {}
-        for s in seeds.tolist():
-            where.setdefault(int(items.grams[s]), []).append((int(items.gram_item[s]), int(items.gram_at[s])))
+        look, ranked = Lookup(items.grams), np.argsort(items.grams, kind="stable")
 
         def find(texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
             rows = []
             for i, j in chunks([len(t) for t in texts]):
-                rows += [(i + d, *r) for d, *r in _hits(texts[i:j], items, look, where, n, threshold)]
+                rows += [(i + d, *r) for d, *r in _hits(texts[i:j], items, look, ranked, n, threshold)]
             return rows
 
         return find
@@ -328,8 +290,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Itera
         yield items_of(ids, texts, n)
 
 
-def _search_block(docs: DataFrame, items: Items, n: int, span: int, threshold: float) -> DataFrame:
-    finder = _finder(items, seeds_of(items, _frequencies(docs, items, n), span), n, threshold)
+def _search_block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame:
+    finder = _finder(items, n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
