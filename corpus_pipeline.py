@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import decontaminate, language, pii, sentencepiece, simhash
-from tidefold.llm.common import load, shared_folder
+from tidefold.llm.common import delete, load, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,9 +23,7 @@ LEAST_COSINE = 0.05
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or unlike every language of the corpus."""
-    found = language.predict(docs, language.fit(docs), keep=[F.struct(*docs.columns).alias("row")])
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
-    return kept.select("row.*")
+    return language.keep_known(docs, language.fit(docs), LEAST_COSINE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +61,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's result."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over ``documents``; the last one's result, the only table that stays."""
+    docs, before = load(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            delete(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs

@@ -31,7 +31,7 @@ def test_toxicity_is_learned_and_found_in_long_texts(spark) -> None:
     rows += [(1000 + k, t) for k, t in enumerate(ODD)] + [(2000, text(rng, "abcdefgh", 300) + " zwaaoq " + text(rng, "abcdefgh", 300) + " zwbboq zwccoq"), (None, "plain"), (7, "plain")]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
     model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), rows_per_class=100)
-    found = toxicity.predict(df.drop("score"), model).collect()
+    found = toxicity.predict(df, model).collect()
     assert len(found) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
     by = {r.id: r.predicted for r in found}
     held = [i for i in range(300, 400)]
@@ -56,7 +56,10 @@ def test_language(spark) -> None:
     assert list(prototypes) == ["aa", "bb", "cc"]
     odd = [(1000 + k, t, None) for k, t in enumerate(ODD)] + [(None, "пример текста 中文", None)]
     test = spark.createDataFrame([*rows[240:], *odd], "doc_id long, text string, lang_pred string")
-    found = language.predict(test.drop("lang_pred"), prototypes).collect()
+    found = language.predict(test, prototypes).collect()
+    assert sorted(map(str, found)) == sorted(map(str, language.predict(test.drop("lang_pred"), prototypes).collect()))
+    kept = language.keep_known(test, prototypes, 0.05)
+    assert kept.columns == test.columns and {r.doc_id for r in kept.collect()} == {r.id for r in found if r.lang_pred != "und" and r.score >= 0.05}
     by = {r.id: r for r in found}
     assert len(found) == len(rows) - 240 + len(odd)
     assert np.mean([by[i].lang_pred == k for i, _, k in rows[240:]]) > 0.97
@@ -68,12 +71,47 @@ def test_language(spark) -> None:
 
 
 def test_hypervectors_are_additive() -> None:
-    vectors, table = language.letter_vectors(256, 3), language.slot_table()
-    one = language.profiles(["abc", "abc abc", "é"], vectors, table)
+    table = language.letter_table()
+    one = language.profiles(["abc", "abc abc", "é"], 256, 3, table)
     assert np.allclose(np.linalg.norm(one, axis=1), 1) and one[0] @ one[1] > 0.9
     assert len(language.grams_of("1 2 3", table)[0]) == 0
 
 
+def test_profiles_against_the_definition(monkeypatch) -> None:
+    """Every n-gram one by one: rotate, multiply, add up, scale."""
+    monkeypatch.setattr(language, "GRAMS_AT_ONCE", 7)
+    texts = ["Das Haus, das 2 Häuser", "дом и дома", "", "中文文本 中文", "a"]
+    got = language.profiles(texts, 128, 5, language.letter_table())
+    for text, row in zip(texts, got, strict=True):
+        letters = [0]
+        for c in text.lower():
+            if c.isalpha() or letters[-1]:
+                letters.append(ord(c) if c.isalpha() else 0)
+        letters += [0] if letters[-1] else []
+        total = np.zeros(128)
+        for gram in zip(letters, letters[1:], letters[2:], strict=False):
+            bound = np.ones(128)
+            for place, letter in enumerate(gram):
+                bound *= np.roll(language.letter_vectors(np.array([letter]), 128, 5)[0], place)
+            total += bound
+        assert np.allclose(row, total / max(np.linalg.norm(total), 1e-30), atol=1e-5)
+
+
+def test_languages_of_many_scripts(spark) -> None:
+    rng = random.Random(4)
+    cyrillic, greek, arabic = "абвгдежзиклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
+    cjk = "".join(chr(0x4E00 + i) for i in range(400))
+    kinds = {"ru": cyrillic[:24], "uk": cyrillic[6:], "el": greek, "ar": arabic[:22], "fa": arabic[6:], "zh": cjk[:260], "ja": cjk[140:]}
+    words = {k: text(rng, letters, 60).split() for k, letters in kinds.items()}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(8, 60))), k) for i, k in enumerate(list(kinds) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.predict(df.where("doc_id >= 280"), language.fit(df.where("doc_id < 280"))).collect()
+    truth = {i: k for i, _, k in rows}
+    assert np.mean([r.lang_pred == truth[r.id] for r in found]) > 0.97
+    points = np.array([ord(c) for c in cyrillic + greek + arabic + cjk])
+    assert len({v.tobytes() for v in language.letter_vectors(points, 256, 7)}) == len(points)
+
+
 def test_quality_shrinks_sparse_sites(spark) -> None:
     rng = random.Random(3)
     rows, labels = [], []

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 256
 #: Bytes of an Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set here only if the session names none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where the setting is missing, a local session
+    gets a temporary folder, and a cluster an error."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/tidefold-checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidefold-")
+        context.setCheckpointDir(named)
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -50,7 +58,39 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark can write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables of frames that ``stored`` gave and nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df._stored_at)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, whose worker gives its free memory back at the end.
+
+    Workers outlive their tasks, and several share an executor's memory.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
 
 
 def fold_of(id_col: Column, folds: int) -> Column:

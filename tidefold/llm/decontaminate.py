@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import chunks, utf8
+from tidefold.llm.common import chunks, frugal, utf8
 
 #: Words of items in a block; a block travels to every task, so this bounds it.
 BLOCK_WORDS = 1 << 18
@@ -88,7 +88,7 @@ def grams_of(words: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """A block of test items: words one after another, and n-grams with their places."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     starts: np.ndarray
     sizes: np.ndarray
     words: np.ndarray
@@ -97,14 +97,14 @@ class Items:
     gram_at: np.ndarray
 
 
-def items_of(ids: list[int], texts: list[bytes], n: int) -> Items:
+def items_of(ids: list[int | None], texts: list[bytes], n: int) -> Items:
     """Items shorter than n words have one gram less than none and are never seeded."""
     words, sizes = words_of(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, int))
     starts = np.cumsum(sizes) - sizes
     parts = [grams_of(words[s : s + k], n) for s, k in zip(starts, sizes, strict=True)]
     each = [len(p) for p in parts]
     return Items(
-        np.array(ids, np.int64), starts, sizes, words,
+        ids, starts, sizes, words,
         np.concatenate(parts) if parts else np.zeros(0, np.uint64),
         np.repeat(np.arange(len(ids)), each),
         np.concatenate([np.arange(k) for k in each]) if parts else np.zeros(0, int),
@@ -226,10 +226,10 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     verbatim; pairs at ``threshold`` or over are returned, with the document's
     words that the item falls on. An item with fewer than ``n`` words has no seed
     and matches nothing, and so do null and empty texts. Repeated documents and
-    items give a row for each pair of rows. Copies of an item that keep none of its
-    n-word phrases are not found.
+    items give a row for each pair of rows; null ids of either stay null. Copies of an
+    item that keep none of its n-word phrases are not found.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = [_search_block(chosen, block, n, threshold) for block in _blocks(benchmark, item_col, item_text_col, n)]
     if not parts:
         return docs.sparkSession.createDataFrame([], "id long, item long, score double, first_word long, n_words long")
@@ -241,23 +241,27 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item as ``search`` finds them."""
-    lowered = F.lower(F.col(text_col).cast("string"))
+    at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col, n):
         finder = _finder(items, n, threshold)
-        marked = docs.select(lowered.alias("_lowered"), *docs.columns)
 
         def run(batches: Iterator[pa.RecordBatch], finder: Callable = finder) -> Iterator[pa.RecordBatch]:
             find = finder()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[d for d, *_ in find([t or b"" for t in utf8(batch.column(0))])]] = False
-                kept = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
-                yield kept.filter(pa.array(clean))
+                clean[[d for d, *_ in find(_lowered(batch.column(at)))]] = False
+                yield batch.filter(pa.array(clean))
 
-        docs = marked.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs
 
 
+def _lowered(column: pa.Array) -> list[bytes]:
+    """The UTF-8 texts of a column in lower case; ASCII ones as they are, since the words
+    of ``words_of`` ignore its case."""
+    return [b"" if t is None else t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in utf8(column)]
+
+
 def _finder(items: Items, n: int, threshold: float) -> Callable[[], Callable[[list[bytes]], list[tuple[int, int, float, int, int]]]]:
     """Builds, on an executor, the search of a block of items in a list of texts."""
 
@@ -280,7 +284,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Itera
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     ids, texts, size = [], [], 0
     for row in rows.orderBy("id", "text").toLocalIterator():
-        ids.append(-1 if row.id is None else row.id)
+        ids.append(row.id)
         texts.append(row.text.lower().encode())
         size += len(re.findall(rb"\w+", texts[-1]))
         if size >= BLOCK_WORDS:
@@ -296,10 +300,10 @@ def _search_block(docs: DataFrame, items: Items, n: int, threshold: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or b"" for t in utf8(batch.column(1))]
-            rows = [(ids[d], int(items.ids[k]), s, at, m) for d, k, s, at, m in find(texts)]
+            ids, texts = batch.column(0).to_pylist(), _lowered(batch.column(1))
+            rows = [(ids[d], items.ids[k], s, at, m) for d, k, s, at, m in find(texts)]
             names = ["id", "item", "score", "first_word", "n_words"]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names)
 
-    return docs.mapInArrow(run, "id long, item long, score double, first_word long, n_words long")
+    return docs.mapInArrow(frugal(run), "id long, item long, score double, first_word long, n_words long")

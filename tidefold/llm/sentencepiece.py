@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import chunks
+from tidefold.llm.common import chunks, frugal
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stands for a blank sign that is in the text itself; no valid text has it.
 LITERAL = "\ud800"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Edges of the lattices that a task keeps for units it may meet again.
 STORED_EDGES = 2_000_000
 #: Steps of a path whose nodes are looked at first.
@@ -128,6 +128,8 @@ class Trie:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
         self.longest = max(len(p) for p, u in zip(vocabulary.pieces, vocabulary.usable, strict=True) if u)
+        if self.longest > 127:
+            raise ValueError("a piece of the model has over 127 characters")
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -546,7 +548,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 )
 
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, sample int, pieces array<int>, log_prob double, log_inclusion double, round_trip boolean")
+    return chosen.mapInArrow(frugal(run), f"id {kind}, sample int, pieces array<int>, log_prob double, log_inclusion double, round_trip boolean")
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: Column, keep: list[Column]) -> DataFrame:
@@ -561,4 +563,4 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: Column, keep: list[C
             yield pa.record_batch([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
     chosen = rows.select(pieces.alias("_pieces"), *keep)
-    return chosen.mapInArrow(run, chosen.drop("_pieces").schema.add("text", "string"))
+    return chosen.mapInArrow(frugal(run), chosen.drop("_pieces").schema.add("text", "string"))

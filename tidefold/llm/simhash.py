@@ -17,10 +17,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import checkpoint, chunks, utf8
+from tidefold.llm.common import checkpoint, chunks, discard, frugal, utf8
 from tidefold.llm.graph import components, spanning_forest
 from tidefold.llm.hashing import xxh64
 
@@ -58,25 +58,31 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the SimHash of each whole text as a signed 64-bit integer.
+    """(id, text_hash, fp): the SimHash of each whole text as a signed 64-bit integer.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are
     ``shingle`` words joined by a blank, repeats included; a shorter text is one
     shingle, a text without words (empty, null) has fingerprint zero. A bit is set
     if it is set in over half the XXH64 (seed 42) values, so a tie leaves it
-    unset. Repeated ids keep a row each; null ids stay null.
+    unset. Repeated ids keep a row each; null ids stay null. ``text_hash`` tells apart the
+    texts of one id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
+            texts = utf8(batch.column(2))
             fp = np.zeros(len(texts), np.uint64)
             for i, j in chunks([len(t or b"") for t in texts]):
                 fp[i:j] = fingerprints_of(texts[i:j], shingle)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text).alias("text_hash"), text.alias("text"))
+    return chosen.mapInArrow(frugal(run), "id long, text_hash long, fp long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -186,20 +192,50 @@ def links(codes: DataFrame, bits: int = 3, slice_rows: int = SLICE) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        bucket, side, fp = (table.column(c).to_numpy() for c in ("bucket", "side", "fp"))
         held: list[np.ndarray] = []
-        for a, b in close_pairs(bucket, fp.astype(np.int64).view(np.uint64), side, bits):
-            held.append(np.array([a.view(np.int64), b.view(np.int64)]))
-            if sum(x.shape[1] for x in held) > 4 * FRONTIER:
-                held = [np.array(spanning_forest(*np.hstack(held)))]
+        for bucket, side, fp in _whole_buckets(batches):
+            for a, b in close_pairs(bucket, fp.view(np.uint64), side, bits):
+                held.append(np.array([a.view(np.int64), b.view(np.int64)]))
+                if sum(x.shape[1] for x in held) > 4 * FRONTIER:
+                    held = [np.array(spanning_forest(*np.hstack(held)))]
         if held:
             a, b = spanning_forest(*np.hstack(held))
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.sortWithinPartitions("bucket").mapInArrow(frugal(run), "a long, b long")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, side, fp) of some ``FRONTIER`` rows at a time, a bucket's rows together.
+
+    Rows come sorted by bucket, and a bucket has two slices at most, so what is held
+    does not grow with the partition.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        held.append(tuple(batch.column(n).to_numpy() for n in ("bucket", "side", "fp")))
+        size += batch.num_rows
+        if size >= FRONTIER:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield tuple(c[:cut] for c in rows)
+            held, size = [tuple(c[cut:] for c in rows)], len(rows[0]) - cut
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, least, root): the least (id, text_hash) of each fingerprint, null ids last,
+    and the name of the fingerprint's component."""
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
+    codes = checkpoint(prints.groupBy("fp").agg(least.alias("least")))
+    roots = components(links(codes, bits))
+    named = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    out = checkpoint(named.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    discard(roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -210,22 +246,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part, and a component of null ids only is null. No rows give no rows.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    codes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(codes, bits)).withColumnRenamed("node", "fp")
-    named = codes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = checkpoint(named.join(least, "root").select("fp", "component"))
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    named = _classes(prints, bits)
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    classes = named.join(least, "root").select("fp", F.col("first.id").alias("component"))
+    return prints.select("id", "fp").join(classes, "fp").select("id", "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """One row of each near-duplicate group, all columns: that of the smallest id.
 
-    A row without an id is known by the hash of its text. Of repeated ids one row
-    stays.
+    Rows are known by id and text: those of one id with texts of different groups
+    stand for themselves, and of rows that repeat both, one stays. Rows without an id
+    come last in their group; if it has no other, the one whose text has the
+    least hash stays. The texts are shuffled once, to meet the survivors' names.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    keyed = docs.withColumn("_key", key)
-    found = near_duplicates(keyed, "_key", text_col, shingle, bits)
-    first = found.where("id = component").select(F.col("id").alias("_key")).distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    id_, hash_ = _free("_id", docs), _free("_text_hash", docs)
+    prints = checkpoint(fingerprints(docs, id_col, text_col, shingle))
+    first = _classes(prints, bits).groupBy("root").agg(F.min("least").alias("first")).select("first.*")
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), hash_: _text_hash(F.col(text_col).cast("string"))})
+    kept = keyed.join(first, keyed[id_].eqNullSafe(first["id"]) & (keyed[hash_] == first["text_hash"]), "left_semi")
+    place = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.lit(0)))
+    number = _free("_place", docs)
+    return kept.withColumn(number, place).where(F.col(number) == 1).select(*docs.columns)
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, longer if ``docs`` has such a column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import checkpoint, chunks
+from tidefold.llm.common import checkpoint, chunks, frugal
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
         b = np.flatnonzero(seen.any(axis=0))
         yield pa.record_batch([pa.array(b), pa.array(seen[1, b]), pa.array(seen[0, b])], ["b", "n1", "n0"])
 
-    counts = sample.mapInArrow(count, "b long, n1 int, n0 int").groupBy("b").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = sample.mapInArrow(frugal(count), "b long, n1 int, n0 int").groupBy("b").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     share = (F.col("n1") + F.col("n0")) / float(n1 + n0)
     z = F.abs(F.col("n1") / float(n1) - F.col("n0") / float(n0)) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9)
     top = counts.select("b", "n1", "n0", z.alias("z")).orderBy(F.desc("z"), "b").limit(features).collect()
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
                 found += [c.tolist() for c in np.split(cols, np.searchsorted(owner, np.arange(1, j - i)))]
             yield pa.record_batch([y, pa.array(found, pa.list_(pa.int32()))], ["y", "cols"])
 
-    seen = sample.mapInArrow(spot, "y int, cols array<int>").toPandas()
+    seen = sample.mapInArrow(frugal(spot), "y int, cols array<int>").toPandas()
     y = seen.y.to_numpy(float)
     rows_at = np.repeat(np.arange(len(seen)), [len(c) for c in seen.cols])
     cols = np.concatenate([np.asarray(c, np.int64) for c in seen.cols]) if len(seen) else np.zeros(0, np.int64)
@@ -173,4 +173,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.record_batch([*batch.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
 
-    return chosen.mapInArrow(run, chosen.drop("_text").schema.add("score", "double").add("predicted", "integer"))
+    return chosen.mapInArrow(frugal(run), chosen.drop("_text").schema.add("score", "double").add("predicted", "integer"))
