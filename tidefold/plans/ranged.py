@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,12 @@ def materialised(df: DataFrame) -> DataFrame:
     """The frame written to the checkpoint folder, so that later reads agree."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/tidefold-checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidefold-")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
