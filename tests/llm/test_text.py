@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidefold.llm import decontaminate, licenses, pii, sentencepiece
 
@@ -68,8 +69,6 @@ def test_candidates_are_selected_by_context(spark, trees) -> None:
 def test_trees_in_sql_equal_trees_in_python(spark, trees) -> None:
     rng = np.random.default_rng(1)
     rows = [[int(rng.integers(0, 4)), *rng.integers(0, 3, len(pii.FEATURES) - 1).tolist()] for _ in range(50)]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in pii.FEATURES)).select(F.struct(*pii.FEATURES).alias("c"))
     got = [r.z for r in df.select(trees.column(F.col("c")).alias("z")).collect()]
     assert got == pytest.approx([trees.logit(np.array(r)) for r in rows])
@@ -95,6 +94,7 @@ def test_licences(spark) -> None:
     assert [got[i].license for i in range(9)] == ["MIT", "MIT", "MIT", None, "0BSD", None, None, None, None] and got[9].license == "MIT"
     assert got[7].notices == ["CC-BY-NC-4.0", "MIT"] and got[5].notices == [] and got[5].digest is None and got[6].digest is not None
     assert licenses.scan(df.limit(0)).collect() == []
+    assert sum(len(r.notices) for r in got.values()) == 2
     con = duckdb.connect()
     pdf = df.toPandas()
     con.register("documents", pdf)
@@ -102,6 +102,32 @@ def test_licences(spark) -> None:
     assert {(r[0], r[1], r[2], r[3]) for r in rows} == {(i, r.digest, r.license, ",".join(r.notices)) for i, r in got.items()}
 
 
+def test_licences_that_are_padded_wrapped_and_spelled_otherwise(spark) -> None:
+    wrap = lambda t: "\n".join(" * " + w for w in t.split(" "))  # noqa: E731  a word a line
+    bsd = licenses.TEXTS["BSD-2-Clause"].replace("HOLDER", "OWNER")
+    texts = [
+        "Released under the MIT License." + " -" * 400, "#" * 500 + "\tReleased under\tthe MIT licence !!", "x Released under the MIT License.",
+        wrap(bsd), bsd.replace(" OWNER", "\n  OWNER"), licenses.TEXTS["MIT"].replace("sublicense", "sub-\nlicense").replace("NONINFRINGEMENT", "NON\nINFRINGEMENT"),
+        wrap(licenses.texts()["Apache-2.0"]), licenses.texts()["GPL-3.0"].upper(), licenses.texts()["MPL-2.0"] + "\nCopyright 2020 us\n", "Free for all & sundry",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    notices = (*licenses.NOTICES, ("ANY", "free for all and sundry"))
+    got = {r.id: r for r in licenses.scan(df, notices=notices).collect()}
+    assert [got[i].notices for i in (0, 1, 2, 9)] == [["MIT"], ["MIT"], [], ["ANY"]]
+    assert [got[i].license for i in range(3, 9)] == ["BSD-2-Clause", "BSD-2-Clause", "MIT", "Apache-2.0", "GPL-3.0", "MPL-2.0"]
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {(r[0], r[1], r[2]) for r in con.sql(licenses.oracle()).fetchall()} == {(i, r.digest, r.license) for i, r in got.items()}
+
+
+def test_a_table_with_two_names_for_a_text(spark) -> None:
+    df = spark.createDataFrame([(1, "some text"), (2, "other")], "doc_id long, text string")
+    table = licenses.known(spark, {"a": "Some text"})
+    two = table.union(table.withColumn("license", F.lit("b")))
+    assert {(r.id, r.license) for r in licenses.scan(df, two).collect()} == {(1, "a"), (2, None)}
+    assert licenses.scan(df, two).count() == 2
+
+
 def smith_waterman(a: list, b: list) -> int:
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
@@ -227,8 +253,6 @@ def test_round_trip(spark, vocabulary) -> None:
     assert all(r.pieces == [] and r.log_prob == 0 for r in rows if r.id in (2, 3))
     same = [r for r in rows if r.id == 7]
     assert sorted(map(str, same[:3])) == sorted(map(str, same[3:]))
-    from pyspark.sql import functions as F
-
     back = sentencepiece.decode(spark.createDataFrame(rows), vocabulary, F.col("pieces"), [F.col("id")]).collect()
     assert {(r.id, r.text) for r in back} == {(i, t or "") for i, t in enumerate(texts[:8])}
     again = sentencepiece.encode(df.repartition(3), vocabulary, samples=3).collect()

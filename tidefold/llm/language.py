@@ -24,7 +24,7 @@ GRAM = 3
 #: Bits of a code point in an n-gram's number.
 POINT = 21
 #: N-grams whose vectors are built at once.
-GRAMS_AT_ONCE = 4096
+GRAMS_AT_ONCE = 8192
 #: What a text without letters is called.
 UNKNOWN = "und"
 

@@ -1,34 +1,40 @@
 """Licence scan by canonical digest: whole texts, and notices of one line.
 
-A text is put into a canonical form (case, punctuation, copyright lines and
-equivalent spellings do not matter), and its SHA-256 is hash-joined to the digests
-of known licence texts in the same form. Lines are compared with known one-line
-notices likewise. Everything is a column expression.
+A text is put into a canonical form (case, punctuation, copyright lines, line breaks
+and equivalent spellings do not matter), and its SHA-256 is hash-joined to the
+digests of known licence texts in the same form. Every line is compared with known
+one-line notices likewise. Everything is a column expression.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import local_rows
 
-# Spellings that mean the same, each with the one that is kept.
+# Spellings that mean the same, each with the one that is kept. They are
+# replaced in canonical text, where words stand one blank apart without punctuation.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
+    ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"),
     ("organisation", "organization"),
     ("merchantibility", "merchantability"),
-    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
     ("copyright owner", "copyright holder"),
     ("per cent", "percent"),
-    ("http:", "https:"),
-    ("&", " and "),
+    ("http ", "https "),
 )
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©|year)[^\n]*$"
 RIGHTS_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
+#: What is no word, but for line breaks.
+OTHER_IN_LINE = r"[^\p{L}\p{N}\r\n]+"
+#: Further public licence texts, a file each, named by SPDX identifier.
+FOLDER = Path(__file__).parent / "license_texts"
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _MIT_TERMS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -98,19 +104,38 @@ NOTICES = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words joined by one blank."""
+def texts() -> dict[str, str]:
+    """All known licence texts by name, those in files included; read on the driver."""
+    return TEXTS | {p.stem: p.read_text(encoding="utf-8") for p in sorted(FOLDER.glob("*.txt"))}
+
+
+def _without_marks(text: Column) -> Column:
     out = F.lower(text)
     for pattern in (COPYRIGHT_LINE, RIGHTS_LINE):
         out = F.regexp_replace(out, pattern, "")
+    return F.replace(out, F.lit("&"), F.lit(" and "))
+
+
+def _spelled(text: Column) -> Column:
     for spelling, kept in SPELLINGS:
-        out = F.replace(out, F.lit(spelling), F.lit(kept))
-    return F.trim(F.regexp_replace(out, OTHER, " "))
+        text = F.replace(text, F.lit(spelling), F.lit(kept))
+    return text
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, words joined by one blank, one spelling."""
+    return F.trim(_spelled(F.regexp_replace(_without_marks(text), OTHER, " ")))
+
+
+def canonical_lines(text: Column) -> Column:
+    """``canonical`` of every line of a text, all at once; null of null."""
+    spelled = _spelled(F.regexp_replace(_without_marks(text), OTHER_IN_LINE, " "))
+    return F.transform(F.split(spelled, r"[\r\n]+"), lambda x: F.trim(x))
 
 
-def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+def known(spark: SparkSession, given: dict[str, str] | None = None) -> DataFrame:
     """(digest, license) of known texts; a digest that two share goes to the first name."""
-    rows = local_rows(spark, [{"license": k, "text": t} for k, t in (texts or TEXTS).items()], "license string, text string")
+    rows = local_rows(spark, [{"license": k, "text": t} for k, t in (given or texts()).items()], "license string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -119,18 +144,17 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, notices: tuple[tupl
 
     ``digest`` is that of the canonical whole text, ``license`` the known text it
     equals or null. ``notices`` names, sorted and once each, the licences of lines
-    that equal a known notice in canonical form. A null text has a null digest and
-    no notices; an empty one has the digest of the empty string and matches no
-    licence unless one is empty. Repeated rows keep a row each.
+    that equal a known notice in canonical form, however long or padded a line is. A
+    null text has a null digest and no notices; an empty one has the digest of the
+    empty string and matches no licence unless one is empty. Repeated rows keep a row
+    each. Of a table of ``licenses`` with several names for a digest, the first in
+    order counts.
     """
-    table = known(docs.sparkSession) if licenses is None else licenses
-    lines = F.split(F.col("text"), r"[\r\n]+")
-    # a cheap mark first: canonical notices are short and hold one of few words
-    short = F.filter(lines, lambda x: (F.length(x) <= 200) & F.rlike(x, F.lit(r"(?i)licen[sc]")))
-    plain = F.transform(short, canonical)
+    table = known(docs.sparkSession) if licenses is None else licenses.groupBy("digest").agg(F.min("license").alias("license"))
     flags = [F.when(F.array_contains("lines", canonical(F.lit(n))), F.lit(k)) for k, n in notices]
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = chosen.select("id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.coalesce(plain, F.array().cast("array<string>")).alias("lines"))
+    lines = F.coalesce(canonical_lines(F.col("text")), F.array().cast("array<string>"))
+    found = chosen.select("id", F.sha2(canonical(F.col("text")), 256).alias("digest"), lines.alias("lines"))
     found = found.select("id", "digest", F.array_sort(F.array_distinct(F.array_compact(F.array(*flags)))).alias("notices"))
     return found.join(table.select("digest", "license"), "digest", "left").select("id", "digest", "license", "notices")
 
@@ -139,9 +163,10 @@ def _sql(text: str) -> str:
     out = f"lower({text})"
     for pattern in (COPYRIGHT_LINE, RIGHTS_LINE):
         out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    out = f"regexp_replace(replace({out}, '&', ' and '), '{OTHER}', ' ', 'g')"
     for spelling, kept in SPELLINGS:
         out = f"replace({out}, '{spelling}', '{kept}')"
-    return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
+    return f"trim({out})"
 
 
 def oracle() -> str:
@@ -151,12 +176,12 @@ def oracle() -> str:
         return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in items)
 
     return f"""
-        WITH texts(license, body) AS (VALUES {rows(list(TEXTS.items()))}),
+        WITH texts(license, body) AS (VALUES {rows(list(texts().items()))}),
         table_ AS (SELECT sha256({_sql("body")}) AS digest, min(license) AS license FROM texts GROUP BY 1),
         marks(license, body) AS (VALUES {rows(list(NOTICES))}),
         mark AS (SELECT DISTINCT license, {_sql("body")} AS line FROM marks),
         lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents),
-        hits AS (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, {_sql("line")} AS line FROM lines WHERE length(line) <= 200 AND regexp_matches(line, '(?i)licen[sc]')) JOIN mark USING (line)),
+        hits AS (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, {_sql("line")} AS line FROM lines) JOIN mark USING (line)),
         noted AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM hits GROUP BY 1),
         whole AS (SELECT doc_id, sha256({_sql("text")}) AS digest FROM documents)
         SELECT whole.doc_id, whole.digest, table_.license, coalesce(noted.notices, '') AS notices

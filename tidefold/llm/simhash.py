@@ -260,13 +260,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     come last in their group; if it has no other, the one whose text has the
     least hash stays. The texts are shuffled once, to meet the survivors' names.
     """
-    id_, hash_ = _free("_id", docs), _free("_text_hash", docs)
+    names = [_free(n, docs) for n in ("_unnamed", "_id", "_text_hash", "_place")]
+    keys, number = names[:3], names[3]
+
+    def named(unnamed: Column, id_: Column, text_hash: Column) -> dict[str, Column]:
+        """The keys without nulls, so that the join and the numbering share one shuffle."""
+        return dict(zip(keys, (unnamed, F.coalesce(id_, F.lit(0)), text_hash), strict=True))
+
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle))
     first = _classes(prints, bits).groupBy("root").agg(F.min("least").alias("first")).select("first.*")
-    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), hash_: _text_hash(F.col(text_col).cast("string"))})
-    kept = keyed.join(first, keyed[id_].eqNullSafe(first["id"]) & (keyed[hash_] == first["text_hash"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.lit(0)))
-    number = _free("_place", docs)
+    first = first.select(*[c.alias(n) for n, c in named(F.col("unnamed"), F.col("id"), F.col("text_hash")).items()])
+    id_ = F.col(id_col).cast("long")
+    kept = docs.withColumns(named(id_.isNull(), id_, _text_hash(F.col(text_col).cast("string")))).join(first, keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
     return kept.withColumn(number, place).where(F.col(number) == 1).select(*docs.columns)
 
 
