@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; ``n_chars`` is counted anew."""
-    out = pii.redact(docs, pii.fit(spark))
+    out = pii.redact(docs, pii.fit(spark, docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

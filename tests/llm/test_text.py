@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -74,6 +75,44 @@ def test_trees_in_sql_equal_trees_in_python(spark, trees) -> None:
     assert got == pytest.approx([trees.logit(np.array(r)) for r in rows])
 
 
+def test_planted_items_are_found_by_what_documents_teach(spark) -> None:
+    """Recall of rewritten items that fitting has not seen, and how few others are taken."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit(spark, docs)
+    rng = random.Random(77)
+    prose = [r.text for r in docs.where("length(text) between 200 and 2000 and not text rlike '[0-9@]'").orderBy("doc_id").limit(200).collect()]
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, truth = [], {}
+    for i, text in enumerate(prose):
+        kind = pii.KINDS[i % 4]
+        if kind == "card":
+            body = "4" + num(14)
+            body += next(c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(body + c))) % 10 == 0)
+        plain = {"email": f"{rng.choice(('kim', 'ana.b', 'q_7'))}@{rng.choice(('mail', 'post-3'))}.{rng.choice(('com', 'org'))}", "ip": ".".join(str(rng.randint(1, 254)) for _ in range(4)), "card": body if kind == "card" else "", "phone": f"+1 ({rng.randint(200, 999)}) 555-{num(4)}"}[kind]
+        hit = pii.defanged(kind, plain, rng)
+        at = text.index(" ", len(text) // 2) + 1
+        rows.append((i, text[:at] + hit + " " + text[at:]))
+        truth[i] = (kind, at, at + len(hit))
+    rows += [(1000 + i, t) for i, t in enumerate(prose)] + [(2000 + i, f"{t[:60]} {n} {t[60:]}") for i, t in enumerate(prose) for n in [num(16)] if not any(pii.KINDS[2] == s[0] for s in plain_spans(n))]
+    got = {r.id: {tuple(x) for x in r.spans} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for kind in pii.KINDS:
+        mine = [i for i, (k, *_) in truth.items() if k == kind]
+        assert np.mean([truth[i] in got[i] for i in mine]) >= 0.9, kind
+    assert not any(got[i] for i in got if i >= 1000)
+
+
+def test_many_matches_take_time_in_proportion(spark, trees) -> None:
+    texts = ["12 " * 3_000_000, "+1 555 234 5678 x " * 100_000, "(555) 234-5678, a@b.co 1.2.3.4 " * 40_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begin = time.perf_counter()
+    got = {r.id: r for r in pii.detect(df, trees).selectExpr("id", "size(base) n", "get(base, size(base) - 1) last", "size(spans) m").collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(df, trees).collect()}
+    assert time.perf_counter() - begin < 90
+    assert [got[i].n for i in range(3)] == [0, 100_000, 80_000] and got[2].m == 120_000
+    assert tuple(got[1].last) == ("phone", 99_999 * 18, 99_999 * 18 + 15) and tuple(got[2].last) == ("ip", 39_999 * 31 + 23, 39_999 * 31 + 30)
+    assert clean == {0: texts[0], 1: "[PHONE] x " * 100_000, 2: "[PHONE], [EMAIL] [IP] " * 40_000}
+
+
 def test_redaction_keeps_rows_and_columns(spark, trees) -> None:
     df = spark.createDataFrame([(i, t, None, "spans") for i, t in enumerate(HARD[:12])], "doc_id long, text string, lang string, spans string")
     got = pii.redact(df, trees).orderBy("doc_id")

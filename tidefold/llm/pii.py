@@ -5,13 +5,16 @@ propose more spans in what the base spans leave over (obfuscated addresses, othe
 spellings of numbers). Each candidate is described by format and context features,
 boosted trees score it, and a threshold per kind, calibrated on held-out examples,
 selects the spans to redact. All of it is column expressions on one row: no
-shuffle, no Python on executors. The trees are trained on a seeded set of written
-examples, whose features come from the same expressions.
+shuffle, no Python on executors. The trees are trained on base matches of the
+documents themselves, rewritten and in the words around them, against what else the
+generators propose there, and on a seeded set of written examples; all features come
+from the same expressions.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import local_rows
+from tidefold.llm.common import checkpoint, local_rows
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. A match may start after the previous one or at
@@ -28,7 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    # runs of any length match; those of a card's are looked at, and runs do not touch
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: A text without this has no match of the kind's base pattern.
@@ -52,6 +56,10 @@ CUES = {
 AGAINST = r"(?i)\b(?:order|invoice|version|isbn|serial|sku|part|ref|reference|build|release|section|tracking|look\w*|laugh\w*|point\w*)\b"
 TLD = r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|info|uk|eu)$"
 CONTEXT = 32
+#: Values that are run through at once by ``running``.
+BLOCK = 64
+#: A byte order mark, which decoding takes away.
+MARK = b"\x00\x00\xfe\xff"
 FEATURES = ("kind", "digits", "luhn", "cue", "against", "brackets", "others", "tld", "glued", "valid")
 
 
@@ -71,25 +79,68 @@ def luhn(digits: Column) -> Column:
     return F.coalesce(F.aggregate(places, F.lit(0), add) % 10 == 0, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Inside a lambda function an expression is computed again for every element, and so
+    is a column that the optimizer puts in its place.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def running(values: Column, plus: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """What ``plus`` makes of the values before each one, from 0; ``values`` is a variable.
+
+    Appending to an array copies it, so long arrays are cut into blocks, whose totals
+    are run through in turn: the work grows nearly in proportion.
+    """
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    if not levels:
+        return within(values)["out"]
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+
+    def joined(parts: Column) -> Column:
+        return let(
+            F.transform(parts, lambda p: p["at"]),
+            lambda totals: F.flatten(F.zip_with(parts, running(totals, plus, levels - 1), lambda p, at: F.transform(p["out"], lambda x: plus(x, at)))),
+        )
+
+    return F.when(F.size(values) <= BLOCK, within(values)["out"]).otherwise(let(F.transform(cut, within), joined))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, hit, before, after) of a pattern's matches, in order.
 
-    Offsets are code points, end exclusive; ``before`` and ``after`` are the texts
-    around a match up to the next one. Splitting at the pattern gives what lies
+    Offsets are code points, end exclusive; ``before`` and ``after`` are the ends of the
+    texts around a match up to the next one. Splitting at the pattern gives what lies
     between, so offsets are running sums of lengths.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    shaped = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after")))
-    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["before"])
-        end = start + F.length(m["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), m["hit"].alias("hit"), F.right(m["before"], F.lit(CONTEXT)).alias("before"), F.left(m["after"], F.lit(2)).alias("after"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def shaped(hits: Column, gaps: Column) -> Column:
+        first = F.zip_with(
+            hits, gaps, lambda h, g: F.struct((F.length(g) + F.length(h)).alias("step"), F.length(h).alias("size"), h.alias("hit"), F.right(g, F.lit(CONTEXT)).alias("before"))
+        )
+        rest = F.slice(gaps, 2, F.size(hits))
+        both = F.zip_with(F.slice(first, 1, F.size(hits)), rest, lambda m, g: F.struct(m["step"].alias("step"), m["size"].alias("size"), m["hit"].alias("hit"), m["before"].alias("before"), F.left(g, F.lit(2)).alias("after")))
 
-    return F.aggregate(shaped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+        def placed(m: Column, at: Column) -> Column:
+            end = at + m["step"]
+            return F.struct((end - m["size"]).alias("start"), end.alias("end"), m["hit"].alias("hit"), m["before"].alias("before"), m["after"].alias("after"))
+
+        return let(both, lambda m: F.zip_with(m, let(F.transform(m, lambda x: x["step"]), lambda v: running(v, _sum)), placed))
+
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda hits: F.when(F.size(hits) == 0, _none()).otherwise(let(F.split(text, pattern, -1), lambda gaps: shaped(hits, gaps))),
+    )
 
 
 def _sound(kind: str, hit: Column) -> Column:
@@ -269,13 +320,76 @@ def examples(seed: int = 11, each: int = 60) -> list[tuple[str, int]]:
     return out
 
 
-def fit(spark: SparkSession, seed: int = 11, precision: float = 0.97) -> Trees:
-    """Trees from two thirds of the examples; on the rest, the lowest threshold of
-    each kind whose selection has at least ``precision``."""
-    rows = [{"n": i, "text": t, "y": y} for i, (t, y) in enumerate(examples(seed))]
-    table = local_rows(spark, rows, "n int, text string, y int")
-    found = table.select("n", "y", F.explode(_candidates(F.col("text"))).alias("c")).select("n", "y", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    data = sorted(tuple(r) for r in found.collect())
+def defanged(kind: str, hit: str, rng: random.Random) -> str | None:
+    """A base match as people write it so that machines miss it; None if there is no such form."""
+    d = re.sub("[^0-9]", "", hit)
+    if kind == "email":
+        at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) ")))
+        name, host = hit.split("@", 1)
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return hit.replace(".", rng.choice(("[.]", "(.)", "[dot]", " . ")))
+    if kind == "card" and len(d) == 16:
+        return rng.choice("._").join(d[i : i + 4] for i in range(0, 16, 4))
+    if kind == "phone" and len(d) >= 10:
+        a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+        return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"))
+    return None
+
+
+def weak_labels(docs: DataFrame, text_col: str = "text", rows: int = 4096, spans: int = 1000, seed: int = 11) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Texts with a known span each, and feature rows of what is none, from documents.
+
+    Base matches are personal whatever else; written as ``defanged`` does, each in the
+    words that stood around it, they are positives. What the generators propose in
+    documents beside base matches is taken as negative. ``rows`` documents with digits or
+    @ are looked at, and ``spans`` matches and ``spans`` proposals of each kind are used,
+    all drawn by hash, so what comes to the driver is bounded.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    chosen = docs.select(text.alias("text")).where(F.rlike("text", F.lit("[0-9@]"))).orderBy(F.xxhash64("text")).limit(rows)
+    sample = checkpoint(chosen.repartition(8))
+    rng = random.Random(seed)
+    texts, places, against = [], [], []
+    rest = sample.select("text", _left_over(F.col("text")).alias("rest"))
+    for kind in KINDS:
+        for column, name in ((_base(F.col("text"), kind), "base"), (matches(F.col("rest"), EXTRA[kind]), "extra")):
+            found = rest.select(F.explode(column).alias("m")).select("m.hit", "m.before", "m.after").distinct()
+            found = found.orderBy(F.xxhash64("hit", "before"), "hit", "before", "after").limit(spans)
+            if name == "extra":
+                against += [tuple(r) for r in found.select(*[c.cast("int") for c in _features(kind, F.struct("hit", "before", "after")).values()]).collect()]
+                continue
+            for r in found.collect():
+                if (hit := defanged(kind, r.hit, rng)) is not None:
+                    texts.append(r.before + hit + r.after)
+                    places.append((len(r.before), len(r.before) + len(hit)))
+    return texts, places, against
+
+
+def _left_over(text: Column) -> Column:
+    for kind in KINDS:
+        text = let(text, lambda t, kind=kind: replaced(t, kind))
+    return text
+
+
+def fit(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text", seed: int = 11, precision: float = 0.97) -> Trees:
+    """Trees from two thirds of the labelled candidates; on the rest, the lowest threshold
+    of each kind whose selection has at least ``precision``.
+
+    Candidates come from ``weak_labels`` of ``docs``, if given, and from the written
+    ``examples``, which also serve where documents hold little personal data.
+    """
+    written = examples(seed)
+    rows = [{"n": i, "text": t, "low": 0, "high": len(t), "y": y} for i, (t, y) in enumerate(written)]
+    data: list[tuple[int, ...]] = []
+    if docs is not None:
+        texts, places, against = weak_labels(docs, text_col, seed=seed)
+        rows += [{"n": len(rows) + i, "text": t, "low": a, "high": b, "y": 1} for i, (t, (a, b)) in enumerate(zip(texts, places, strict=True))]
+        data += [(i, 0, *r) for i, r in enumerate(against)]
+    table = local_rows(spark, rows, "n int, text string, low int, high int, y int")
+    found = table.select("*", F.explode(_candidates(F.col("text"))).alias("c")).where("c.start < high and c.end > low")
+    data += [tuple(r) for r in found.select("n", "y", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).collect()]
+    data.sort()
     x, y = np.array([r[2:] for r in data]), np.array([r[1] for r in data], float)
     held = np.array([r[0] % 3 == 0 for r in data])
     bias, trees = boost(x[~held], y[~held])
@@ -311,7 +425,7 @@ def detect(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
     return out.select(
         "id",
         F.concat(*[base[k] for k in KINDS]).alias("base"),
-        F.concat(*[F.array_sort(F.array_distinct(F.concat(base[k], more[k]))) for k in KINDS]).alias("spans"),
+        F.concat(*[F.when(F.size(more[k]) == 0, base[k]).otherwise(F.array_sort(F.concat(base[k], more[k]))) for k in KINDS]).alias("spans"),
     )
 
 
@@ -319,23 +433,27 @@ def redact(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     """The rows with every selected span replaced by its kind in brackets.
 
     Spans that overlap are replaced as one, by the kind that starts first. A null
-    text stays null; other columns are left alone.
+    text stays null; other columns are left alone, whatever their names, and repeated
+    rows stay. The work is linear in the text and its spans.
     """
-    key, spans = "_pii_text", "_pii_spans"
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    carried = docs.withColumn(key, F.struct(*docs.columns))
-    found = detect(carried.withColumn("_pii_whole", text), model, key, "_pii_whole").select(F.col("id").alias(key), F.col("spans").alias(spans))
-    by_start = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind")))
-    whole = F.coalesce(F.col(f"{key}.{text_col}").cast("string"), F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["end"]
-        new = s["start"] >= acc["at"]
-        gap = F.substr(whole, acc["at"] + 1, s["start"] - acc["at"])
-        piece = F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(new, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(F.array_sort(by_start), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(whole, a["at"] + 1)))
-    changed = F.when(F.size(spans) > 0, clean).otherwise(F.col(f"{key}.{text_col}"))
-    return found.select(*[(changed if c == text_col else F.col(f"{key}.{c}")).alias(c) for c in docs.columns])
+    carried = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("whole"))
+    found = detect(carried, model, "row", "whole").select(F.col("id").alias("row"), "spans")
+    whole = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+
+    def clean(data: Column, spans: Column) -> Column:
+        # four bytes a code point, so that a place in the text is a place in the data
+        def part(start: Column, size: Column) -> Column:
+            return F.decode(F.concat(F.lit(MARK), F.substr(data, start * 4 + 1, size * 4)), "UTF-32")
+
+        def piece(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(part(at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        ends = F.transform(spans, lambda s: -s["end"])
+        last = F.array_max(ends)
+        pieces = F.zip_with(spans, let(ends, lambda v: running(v, F.greatest)), piece)
+        return F.concat(F.array_join(pieces, ""), part(last, F.octet_length(data).cast("int") - last))
+
+    changed = let(F.encode(whole, "UTF-32"), lambda data: let(by_start, lambda spans: clean(data, spans)))
+    changed = F.when(F.size("spans") > 0, changed).otherwise(F.col(f"row.{text_col}"))
+    return found.select(*[(changed if c == text_col else F.col(f"row.{c}")).alias(c) for c in docs.columns])

@@ -22,7 +22,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts and digest, and all spans."""
-    found = pii.detect(load(spark, sf_dir, "documents"), pii.fit(spark))
+    docs = load(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(spark, docs))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_kind = lambda kind: lambda s: s["kind"] == kind
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
