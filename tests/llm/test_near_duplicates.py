@@ -136,8 +136,10 @@ def brute_vectors(rows: list) -> dict:
 
 
 def test_embeddings_against_all_pairs(spark, monkeypatch) -> None:
-    monkeypatch.setattr(embeddings, "BLOCK", 20)
+    monkeypatch.setattr(embeddings, "INTERVAL_NUMBERS", 12 * 20)
+    monkeypatch.setattr(embeddings, "GROUP", 3)
     monkeypatch.setattr(embeddings, "LEAF", 4)
+    monkeypatch.setattr(embeddings, "PARTS", 5)
     rng = np.random.default_rng(4)
     rows: list = []
     for i in range(260):
@@ -153,6 +155,31 @@ def test_embeddings_against_all_pairs(spark, monkeypatch) -> None:
     assert got == brute_vectors(rows)
 
 
+def test_interval_join_drops_distant_parts(monkeypatch) -> None:
+    monkeypatch.setattr(embeddings, "LEAF", 4)
+    rng = np.random.default_rng(6)
+    centres = np.eye(16)[rng.integers(0, 16, 900)]
+    x = embeddings.unit(centres + rng.normal(size=(900, 16)) * 0.04)
+    points = x @ embeddings.principal_axes(x, 8)
+    order = np.lexsort(np.floor(points / embeddings.epsilon_of(0.98)).T[::-1])
+    x, points = x[order], points[order]
+    compared = []
+    inner = embeddings._compared
+
+    def counting(x, y, i, j, cosine, same):
+        compared.append(len(i))
+        return inner(x, y, i, j, cosine, same)
+
+    monkeypatch.setattr(embeddings, "_compared", counting)
+    for lo, hi in ((0, 900), (300, 501)):
+        y, py = x[lo:hi], points[lo:hi]
+        same = hi == 900
+        got = {(int(i), int(j)) for p, q in embeddings.ego_join(x, y, points, py, 0.98, same) for i, j in zip(p, q, strict=True)}
+        i, j = np.nonzero(x @ y.T >= 0.98)
+        assert got == {(int(a), int(b)) for a, b in zip(i, j, strict=True) if not same or a < b} and got
+    assert sum(compared) < 0.3 * (225 * 226 / 2 + 225 * 51)
+
+
 def test_no_embeddings(spark) -> None:
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(empty).collect() == []
