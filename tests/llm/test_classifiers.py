@@ -133,3 +133,58 @@ def test_quality_shrinks_sparse_sites(spark) -> None:
     none = quality.score(df, spark.createDataFrame([], "doc_id long, quality int"), F.col("host"), F.col("path")).collect()
     assert {r.score for r in none} == {0.5} and all(r.keep for r in none)
     assert quality.score(df.limit(0), spark.createDataFrame([], "doc_id long, quality int"), F.col("host"), F.col("path")).collect() == []
+
+
+def test_quality_learns_words_and_adds_up_as_stated(spark, monkeypatch) -> None:
+    monkeypatch.setattr(quality, "HOT_SHARE", 0.2)  # so that some sites are hot and some are not
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(500):
+        good = i % 2
+        words = text(rng, "abcdefgh", 40).split()
+        words[rng.randrange(40)] = rng.choice(("zorbam", "quilip", "vextor")) if good else rng.choice(("nyxol", "wumpat", "jikker"))
+        rows.append((i, " ".join(words), rng.choice("hhhij"), f"p{i % 3}"))
+        if i < 400:
+            labels.append((i, good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    found = {r.id: r for r in quality.score(df, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()}
+    assert len(found) == 500 and np.mean([found[i].keep == bool(i % 2) for i in range(400, 500)]) >= 0.9
+    # the site posteriors, recomputed in plain Python
+    y = dict(labels)
+    rate = (sum(y.values()) + 1) / (len(y) + 2)
+
+    def strength(groups: dict) -> float:
+        n, g = np.array([len(v) for v in groups.values()], float), np.array([sum(v) for v in groups.values()], float)
+        mean = g.sum() / n.sum()
+        noise = mean * (1 - mean)
+        between = ((n * (g / n - mean) ** 2).sum() - (len(n) - 1) * noise) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9)
+        return quality.STRONGEST if between <= noise / quality.STRONGEST else min(max(noise / between - 1, quality.WEAKEST), quality.STRONGEST)
+
+    hosts: dict = {}
+    sites: dict = {}
+    for i, _, h, p in rows:
+        if i in y:
+            hosts.setdefault(h, []).append(y[i])
+            sites.setdefault((h, p), []).append(y[i])
+    wide, near = strength(hosts), strength(sites)
+    for i, _, h, p in rows:
+        host_rate = (sum(hosts[h]) + wide * rate) / (len(hosts[h]) + wide)
+        path_rate = (sum(sites[h, p]) + near * host_rate) / (len(sites[h, p]) + near)
+        r = found[i]
+        assert abs(r.host_rate - host_rate) < 1e-9 and abs(r.path_rate - path_rate) < 1e-9
+        assert abs(r.score - 1 / (1 + np.exp(-(r.evidence + np.log(path_rate / (1 - path_rate)))))) < 1e-9
+
+
+def test_naive_bayes_against_counting() -> None:
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(1, 9))) for _ in range(80)]
+    y = (rng.random(80) < 0.3).astype(float)
+    got = quality.naive_bayes(rows, y)
+    share = (y.sum() + 1) / 82
+    for code in range(31):
+        g = sum(code in r for r, k in zip(rows, y, strict=True) if k)
+        b = sum(code in r for r, k in zip(rows, y, strict=True) if not k)
+        expected = np.log((g + 2 * share) / (y.sum() + 2) / ((b + 2 * (1 - share)) / (80 - y.sum() + 2))) if g + b else 0
+        assert abs(got[code] - expected) < 1e-9
+    z = rng.normal(size=4000)
+    assert abs(quality.weight_of(z, (rng.random(4000) < 1 / (1 + np.exp(-0.4 * z))).astype(float)) - 0.4) < 0.1
