@@ -40,16 +40,17 @@ class Fold:
 
     @staticmethod
     def sum(value: Callable[[Any], Column], type: str = "double") -> Fold:
-        """The running sum."""
-        return Fold(value, lambda v, w: F.sum(v).over(w), lambda s, v: v if s is None else s + v, lambda s: s, type)
+        """The running sum; nulls are left out, and before the first value it is null."""
+        return Fold(value, lambda v, w: F.sum(v).over(w), _plus, lambda s: s, type)
 
     @staticmethod
     def sum_after_first(value: Callable[[Any], Column], type: str = "double") -> Fold:
-        """The running sum without the key's first record, where it is 0."""
+        """The running sum without the key's first record, where it is 0; nulls are left out."""
+        zero = 0.0 if type in ("double", "float") else 0
         return Fold(
             value,
             lambda v, w: F.sum(F.when(F.col(PLACE) > 1, v).otherwise(F.lit(0).cast(type))).over(w),
-            lambda s, v: 0 * v if s is None else s + v,
+            lambda s, v: zero if s is None else _plus(s, v),
             lambda s: s,
             type,
             needs_place=True,
@@ -57,11 +58,11 @@ class Fold:
 
     @staticmethod
     def mean(value: Callable[[Any], Column]) -> Fold:
-        """The running mean."""
+        """The running mean; nulls are left out, and before the first value it is null."""
         return Fold(
             value,
             lambda v, w: F.avg(v).over(w),
-            lambda s, v: (float(v), 1) if s is None else (s[0] + v, s[1] + 1),
+            lambda s, v: s if v is None else (float(v), 1) if s is None else (s[0] + v, s[1] + 1),
             lambda s: s[0] / s[1],
             "double",
         )
@@ -88,13 +89,13 @@ class Fold:
 
     @staticmethod
     def clamped_sum(delta: Callable[[Any], Column], type: str = "bigint") -> Fold:
-        """``max(0, total + delta)`` after each record, from 0.
+        """``max(0, total + delta)`` after each record, from 0; a null changes nothing.
 
         With S the plain running sum, the clamped one is S less the smallest of 0
         and all S so far: two window passes, no state.
         """
         return Fold(
-            delta,
+            lambda r: F.coalesce(delta(r), F.lit(0).cast(type)),
             lambda s, w: s - F.least(F.lit(0).cast(type), F.min(s).over(w)),
             lambda s, v: max(0, (s or 0) + v),
             lambda s: s,
@@ -103,6 +104,10 @@ class Fold:
         )
 
 
+def _plus(state: Any, v: Any) -> Any:
+    return state if v is None else v if state is None else state + v
+
+
 def _no_nan(v: Column, type: str) -> Column:
     return F.when(~F.isnan(v), v) if type in ("double", "float") else v
 

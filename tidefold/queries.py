@@ -2,7 +2,8 @@
 
 Each query has a name, a function of (spark, sf_dir) and the equivalent SQL, side
 by side. Records are ordered by (ts, event_id). Float sums, whose last bits depend on the
-order of addition, are rounded in both before anything is derived from them.
+order of addition, are rounded where they are projected; where a threshold decides, the SQL
+adds up in order, as a fold does.
 """
 
 from __future__ import annotations
@@ -324,7 +325,8 @@ def latency_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summaries(total: str, source: str = "events") -> str:
-    return f"""SELECT user_id, bucket, ts, event_id, round({total}, 6) / count(*) OVER w AS avg FROM
+    # the sum of a list adds up from its first value on
+    return f"""SELECT user_id, bucket, ts, event_id, list_reduce(list({total}) OVER w, lambda a, b: a + b) / count(*) OVER w AS avg FROM
         (SELECT *, row_number() OVER b AS rn FROM (SELECT *, epoch_us(ts) - epoch_us(ts) % {DAY} AS bucket FROM {source})
          WINDOW b AS (PARTITION BY user_id, bucket ORDER BY ts, event_id))
         WINDOW w AS (PARTITION BY user_id, bucket ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
@@ -335,7 +337,7 @@ def _alerts(summaries: str) -> str:
         (SELECT *, lag(avg) OVER ({W}) AS p FROM ({summaries})) WHERE p IS NOT NULL AND avg > p * 1.5"""
 
 
-E2 = "sum(CASE WHEN rn > 1 THEN value ELSE 0.0 END) OVER w"
+E2 = "CASE WHEN rn > 1 THEN value ELSE 0.0::DOUBLE END"
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +350,7 @@ def sensor_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor.pipeline(ORDER, "user_id", DAY).run(readings(spark, sf_dir))
 
 
-@query(f"SELECT user_id, bucket, severity FROM ({_alerts(_summaries('sum(value) OVER w'))})")
+@query(f"SELECT user_id, bucket, severity FROM ({_alerts(_summaries('value'))})")
 def sensor_alerts_true_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor.pipeline(ORDER, "user_id", DAY, true_mean=True).run(readings(spark, sf_dir))
 
