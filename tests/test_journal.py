@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.plans.pipeline import CapacityExceeded
-from tidefold.sources import Journal, JournalStore
+from tidefold.operators import Delta, Map, Stateful
+from tidefold.plans import Fold
+from tidefold.plans.pipeline import CapacityExceeded, Pipeline
+from tidefold.sources import Feed, Journal, JournalStore, Slots
 
 
 def journal(spark, values: list) -> Journal:
@@ -72,3 +76,49 @@ def test_store(spark, tmp_path, stored) -> None:
         store.append(rows([6]), ["x"])
     if stored:
         assert JournalStore(spark, "x bigint", path).journal().size() == 5
+
+
+def test_writers_at_once_leave_no_gap(spark, tmp_path) -> None:
+    path = str(tmp_path / "log")
+    rows = lambda xs: spark.createDataFrame([(x,) for x in xs], "x bigint")
+    parts = [rows(range(10 * i, 10 * i + 3 + i)) for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda p: JournalStore(spark, "x bigint", path).append(p, ["x"]), parts))
+    found = JournalStore(spark, "x bigint", path).journal().df.orderBy("seq").collect()
+    assert [r.seq for r in found] == list(range(18)) and sorted(r.x for r in found) == sorted(x for i in range(4) for x in range(10 * i, 3 + 11 * i))
+    assert JournalStore(spark, "x bigint", path).count() == 18
+
+
+def test_appends_do_not_read_what_is_there(spark) -> None:
+    store = JournalStore(spark, "x bigint")
+    for i in range(5):
+        assert store.append(spark.createDataFrame([(i,)], "x bigint"), ["x"]) == i + 1
+    assert store.count() == 5 and [r.x for r in store.journal().reader()] == list(range(5))
+    assert store.append(spark.createDataFrame([], "x bigint"), ["x"]) == 5
+
+
+def test_slots_that_are_set(spark) -> None:
+    slots = Slots(spark, "price double, name string")
+    slots.set(3, 1.5, "a")
+    slots.set_all([(4, 2.0, "b"), (3, 9.0, "c"), (4, 3.0, "d")])
+    assert {r.slot: (r.price, r.name) for r in slots.latest().collect()} == {3: (9.0, "c"), 4: (3.0, "d")}
+
+
+def test_many_consumers_of_one_source(spark) -> None:
+    """A graph built by hand: two pipelines read one journal, a third joins what they make."""
+    j = journal(spark, list(range(200)))
+    first = Pipeline(("seq",)).stage(Map(lambda r: {"x": r.x, "even": r.x % 2 == 0}))
+    source, made = first.intermediates(j.df)
+    sums = Pipeline(("x",)).stage(Stateful(["even"], {"x": Fold.last(lambda r: r.x, "bigint"), "s": Fold.sum(lambda r: r.x, "bigint")})).run(made)
+    last = Pipeline(("x",)).stage(Delta(["even"], lambda c, p: (p.exists, {"x": c.x, "d": c.x - p.x}))).run(made)
+    both = sums.join(last, "x").orderBy("x").collect()
+    assert source.count() == 200 and len(both) == 198 and all(r.d == 2 and r.s == sum(range(r.x % 2, r.x + 1, 2)) for r in both)
+    assert [row.x for row in j.reader()] == list(range(200))
+
+
+def test_replay_keeps_the_distances_of_a_recording(spark, tmp_path) -> None:
+    df = spark.createDataFrame([(i, int(t * 1e9)) for i, t in enumerate((0.0, 0.01, 0.35, 0.8, 7.0))], "seq bigint, ts bigint")
+    feed, waits = Feed(spark, str(tmp_path / "feed"), df.schema), []
+    assert feed.replay(df, "ts", 0.1, pause=waits.append) == 4  # spans at 0, 0.3, 0.8 and, after a gap, 7
+    assert all(0 <= w <= 0.8 for w in waits) and len(waits) <= 2
+    assert spark.read.parquet(feed.path).count() == 5

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tidefold.operators import Custom, DedupBy, Delta, Filter, FilterMap, FlatMap, Inspect, Latency, Map, Progress, Stateful, TrackPrev, compose
+from tidefold.operators import Custom, DedupBy, Delta, Filter, FilterMap, FlatMap, Inspect, Latency, Latest, Map, Progress, Stateful, TrackPrev, compose
+from tidefold.measure import OpCounter
 from tidefold.plans import Fold
 from tidefold.plans.pipeline import CapacityExceeded, Pipeline
 
@@ -130,7 +133,7 @@ def test_intermediates(scalars) -> None:
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-5, 5)), min_size=1, max_size=30))
+@given(st.lists(st.tuples(st.integers(0, 2), st.none() | st.integers(-5, 5)), min_size=1, max_size=30))
 def test_folds_against_plain_python(spark, records) -> None:
     df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(records)], "seq bigint, k int, v bigint")
     value = lambda r: r.v
@@ -142,7 +145,43 @@ def test_folds_against_plain_python(spark, records) -> None:
     expected = []
     for k, v in records:
         old = states.setdefault(k, dict.fromkeys(folds))
-        states[k] = {n: f.step(old[n], 1 if n == "n" else v) for n, f in folds.items()}
-        expected.append({n: f.result(states[k][n]) for n, f in folds.items()})
+        given_ = {"n": 1, "clamped": v or 0}
+        states[k] = {n: f.step(old[n], given_.get(n, v)) for n, f in folds.items()}
+        expected.append({n: None if states[k][n] is None else f.result(states[k][n]) for n, f in folds.items()})
     got = [{n: r[n] for n in folds} for r in PIPE.stage(Stateful(["k"], folds)).receive(df)]
     assert got == expected
+
+
+def test_latest_is_one_record_a_key(scalars) -> None:
+    final = Latest(["k"], lambda r: {"n": F.count(F.lit(1)), "x": F.max_by(r.x, r.x)})
+    out = PIPE.stage(Map(lambda r: {"k": r.x % 2, "x": r.x}), final)
+    assert [(r.k, r.n, r.x) for r in out.receive(scalars([4, 1, 3, 2, 5]))] == [(0, 2, 4), (1, 3, 5)]
+
+
+def test_time_of_a_wrapped_stage(scalars) -> None:
+    """Every second record is timed, and what is timed is the stage."""
+    slow = Map(lambda r: {"x": F.length(F.repeat(F.sha2(r.x.cast("string"), 512), 2000))})
+    stats = {}
+    for name, inner in (("fast", add(1)), ("slow", slow), ("keyed", DedupBy(["x"]))):
+        seen = Observation(name)
+        df = scalars(list(range(300))).coalesce(1)
+        assert len(PIPE.stage(Latency(name, inner, sample_rate=2, to=seen)).run(df).collect()) == 300
+        stats[name] = seen.get
+    for s in stats.values():
+        assert (s["count"], s["records"]) == (150, 300) and 1 <= s["min"] <= s["p50"] <= s["p99"] <= s["max"], s
+
+
+def test_schemas_with_commas(scalars) -> None:
+    def step(state: dict, r: dict) -> list[dict]:
+        return [{"d": Decimal(r["x"]) / 4, "s": {"a": r["x"], "b": [str(r["x"])]}}]
+
+    out = PIPE.stage(Custom(["x"], dict, step, "d decimal(10, 2), s struct<a: bigint, b: array<string>>"))
+    assert [(r.d, r.s.a, r.s.b) for r in out.receive(scalars([1, 2]))] == [(Decimal("0.25"), 1, ["1"]), (Decimal("0.50"), 2, ["2"])]
+
+
+def test_counters_add_up() -> None:
+    ops = OpCounter()
+    first, second = ops.new_counter(), ops.new_counter()
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: (first if i % 2 else second).add(i), range(100)))
+    assert ops.total() == sum(range(100)) and first.value == sum(range(1, 100, 2))

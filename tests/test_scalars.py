@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidefold.functions import bucket, format_duration, format_number, micros, saturating_sub, saturating_unsigned, wrapping_u8
-from tidefold.measure import EndToEnd, LatencyMeasurer, latency_stats, outliers, progress_line
+from tidefold.measure import QUANTILES, EndToEnd, LatencyMeasurer, latency_stats, outliers, progress_line
 
 
 def test_conversions(spark) -> None:
@@ -63,3 +64,16 @@ def test_measurer() -> None:
     with pytest.raises(ValueError):
         LatencyMeasurer(0)
     assert progress_line("x", 2000, 500, 0.5, 2.0) == "[x] 2.00k records, 1.00k/s now, 1.00k/s on average"
+
+
+def test_exact_quantiles_of_uneven_durations(spark) -> None:
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(-5, 70, 500), (10 ** rng.uniform(0, 13, 3000)).astype(np.int64), np.full(700, 123_456_789), 2 ** np.arange(41), 2 ** np.arange(1, 41) - 1])
+    rng.shuffle(values)
+    df = spark.createDataFrame([(int(v),) for v in values] + [(None,)], "ns bigint")
+    r = latency_stats(df, F.col("ns")).first()
+    cut = np.sort(np.clip(values, 1, 10**12))
+    expected = {n: cut[int(np.ceil(q * len(cut) - 1e-9)) - 1] for n, q in QUANTILES.items()}
+    assert {n: r[n] for n in expected} == expected and (r["count"], r["min"], r["max"]) == (len(cut), cut[0], cut[-1])
+    none = latency_stats(df.limit(0), F.col("ns")).first()
+    assert none["count"] == 0 and none["p50"] is None

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import Observation
 
 from tidefold.plans.pipeline import Pipeline
 from tidefold.workloads import health, orderbook, sensor
@@ -77,11 +80,52 @@ def test_imbalance(spark) -> None:
 
 
 def test_a_level_pushed_out_comes_back_with_its_next_update() -> None:
-    book = orderbook.Book()
+    book = orderbook.new_book()
     for price in (101, 102, 103, 104, 105, 106):
-        book.put("B", price, 1)
-    assert [p for p, _ in book.sides["B"]] == [106, 105, 104, 103, 102]
-    book.put("B", 106, 0)
-    assert [p for p, _ in book.sides["B"]] == [105, 104, 103, 102, 0]
-    book.put("B", 101, 4)
-    assert [p for p, _ in book.sides["B"]] == [105, 104, 103, 102, 101]
+        orderbook.put(book, "B", price, 1)
+    assert [p for p, _ in book["B"]] == [106, 105, 104, 103, 102]
+    orderbook.put(book, "B", 106, 0)
+    assert [p for p, _ in book["B"]] == [105, 104, 103, 102, 0]
+    orderbook.put(book, "B", 101, 4)
+    assert [p for p, _ in book["B"]] == [105, 104, 103, 102, 101]
+
+
+def test_tracker_windows_equal_the_state_by_messages(spark) -> None:
+    rng = random.Random(5)
+    rows = [(i, i, i, 10 * (k := rng.randint(1, 3)) + rng.randint(1, 6), rng.randint(100, 103), rng.randint(0, 6), k, rng.choice("AAMMMCFFFTTNR" if i % 50 else "R"), rng.choice("AB")) for i in range(1500)]
+    df = spark.createDataFrame(rows, messages(spark).schema)
+    state: dict = {}
+    expected = []
+    for r in rows:
+        m = dict(zip(df.columns, r, strict=True))
+        for pos, out in enumerate(orderbook._track(state.setdefault(m["instrument_id"], {}), m)):
+            expected.append((m["seq"], pos, out["instrument_id"], out["side"], out["price"], out["delta"], out["is_clear"]))
+    got = Pipeline(("seq",)).stage(orderbook.order_tracker()).run(df, keep_order=True).collect()
+    assert sorted((r._o0, r._o1, r.instrument_id, r.side, r.price, r.delta, r.is_clear) for r in got if r.side) == [e for e in expected if e[3]]
+    assert len(got) == len(expected) and sum(r.is_clear for r in got) == sum(e[6] for e in expected)
+
+
+def test_a_clear_can_empty_the_book(spark) -> None:
+    got = [(r.imbalance, r.bid_vol, r.ask_vol) for r in orderbook.pipeline(("seq",), reset_on_clear=True).receive(messages(spark))]
+    assert got[-1] == (-1.0, 0.0, 8.0) and len(got) == 11  # no signals of an empty book
+
+
+def test_small_readings_raise_alerts_as_large_ones_do(spark) -> None:
+    rows = [(i, 1, v, t) for i, (v, t) in enumerate([(1e-7, 10_000), (5e-7, 20_000), (9e-7, 110_000), (2e-6, 120_000)])]
+    alerts = []
+    for scale in (1.0, 1e7):
+        df = spark.createDataFrame([(i, k, v * scale, t) for i, k, v, t in rows], "seq bigint, sensor_id bigint, value double, timestamp bigint")
+        alerts.append([r.bucket for r in sensor.pipeline(("seq",)).receive(df)])
+    assert alerts[0] == alerts[1] == [0, 100_000]
+
+
+def test_throttled_log_and_tick_to_signal(spark) -> None:
+    lines: list[str] = []
+    log = orderbook.ThrottledLog(seconds=1000, log=lines.append)
+    signals = orderbook.pipeline(("seq",)).run(messages(spark))
+    for k in range(3):
+        log.batch(signals, k)
+    assert len(lines) == 1 and "High Imbalance: 1.0000 (B:9 A:0)" in lines[0]
+    seen = Observation("tts")
+    n = orderbook.tick_to_signal(("seq",), every=1, to=seen).run(messages(spark)).count()
+    assert n == 13 and seen.get["count"] == 13 and seen.get["min"] >= 1

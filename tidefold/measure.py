@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+import threading
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions.format import format_duration, format_number
+from tidefold.operators.ops import QUANTILES
 
-QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999, "p9999": 0.9999}
 LOW, HIGH = 1, 10**12
 #: Fewer durations than this tell no outlier.
 LEAST = 100
@@ -23,16 +26,33 @@ def latency_stats(df: DataFrame, ns: Column, accuracy: int | None = None) -> Dat
     """count, min, max, mean and quantiles of durations, cut to 1 ns .. 1000 s.
 
     With ``accuracy``, quantiles come from a sketch with a rank error of its
-    inverse; otherwise they are exact, for durations that fit in an aggregation.
+    inverse. Otherwise they are exact, in two passes: a histogram of some 2,500 bins tells
+    the bins that the quantiles lie in, and the durations in those are counted.
     """
-    cut = F.least(F.greatest(ns, F.lit(LOW)), F.lit(HIGH)).cast("long")
+    cut = F.when(ns.isNotNull(), F.least(F.greatest(ns, F.lit(LOW)), F.lit(HIGH))).cast("long")
     rows = df.select(cut.alias("v"))
     out = [F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean")]
     if accuracy:
-        out += [F.percentile_approx("v", q, accuracy).alias(n) for n, q in QUANTILES.items()]
-    else:
-        out += [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)").cast("long").alias(n) for n, q in QUANTILES.items()]
-    return rows.agg(*out)
+        return rows.agg(*out, *[F.percentile_approx("v", q, accuracy).alias(n) for n, q in QUANTILES.items()])
+    return rows.agg(*out).join(_quantiles(rows), F.lit(True), "left")
+
+
+def _quantiles(rows: DataFrame) -> DataFrame:
+    """One row of the exact quantiles of ``v``: the least value that so large a share is up to."""
+    # a bin is an octave's 64th, so bins are in order and few
+    octave = F.length(F.bin("v")) - 1
+    inside = F.expr("shiftright(v, length(bin(v)) - 7) & 63").cast("int")
+    binned = rows.where("v is not null").withColumn("_bin", F.when(octave < 6, F.col("v").cast("int")).otherwise(octave * 64 + inside))
+    sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select("_bin", "_n", upto.alias("_upto"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    rank = lambda q: F.greatest(F.ceil(F.col("_all") * q - 1e-9), F.lit(1))
+    holds = lambda q: (F.col("_upto") >= rank(q)) & (F.col("_upto") - F.col("_n") < rank(q))
+    picked = sizes.where(reduce(or_, [holds(q) for q in QUANTILES.values()])).select("_bin", (F.col("_upto") - F.col("_n")).alias("_below"), "_all")
+    counted = binned.join(F.broadcast(picked), "_bin").groupBy("_bin", "_below", "_all", "v").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.col("_below") + F.sum("_n").over(Window.partitionBy("_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("_upto", place)
+    return ranked.agg(*[F.min(F.when(F.col("_upto") >= rank(q), F.col("v"))).alias(n) for n, q in QUANTILES.items()])
 
 
 def outliers(df: DataFrame, ns: Column, stats: DataFrame) -> DataFrame:
@@ -104,6 +124,36 @@ class LatencyMeasurer:
         return f"count={s['count']} " + " ".join(f"{k}={format_duration(v)}" for k, v in s.items() if k != "count")
 
 
+class OpCounter:
+    """Counters of several parts of a program on the driver, and their sum."""
+
+    def __init__(self) -> None:
+        self._counters: list[Counter] = []
+
+    def new_counter(self) -> Counter:
+        """A counter of its own, from 0, that the sum includes."""
+        self._counters.append(Counter())
+        return self._counters[-1]
+
+    def total(self) -> int:
+        """The sum of all counters."""
+        return sum(c.value for c in self._counters)
+
+
+class Counter:
+    """A number that goes up; threads may share it."""
+
+    def __init__(self) -> None:
+        self.value = 0
+        self._lock = threading.Lock()
+
+    def add(self, n: int = 1) -> int:
+        """The number after ``n`` more."""
+        with self._lock:
+            self.value += n
+            return self.value
+
+
 class EndToEnd:
     """Tokens of the time something came in, measured where it comes out."""
 

@@ -9,6 +9,7 @@ from tidefold.operators.ops import (
     FlatMap,
     Inspect,
     Latency,
+    Latest,
     Map,
     Operator,
     Progress,
@@ -26,6 +27,7 @@ __all__ = [
     "FlatMap",
     "Inspect",
     "Latency",
+    "Latest",
     "Map",
     "Operator",
     "Progress",

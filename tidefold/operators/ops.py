@@ -13,15 +13,18 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidefold.functions.scalars import same_record
 from tidefold.plans.fold import PLACE, Fold, ordered, running
 
 PREV = "_prev"
+#: The quantiles of durations by name.
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999, "p9999": 0.9999}
 
 
 class Record:
@@ -60,6 +63,12 @@ class Operator:
         """Key columns that records must be brought together by; None if it has none."""
         return None
 
+    def reporters(self) -> list[Progress | Latency]:
+        """The operators that report on a stream."""
+        if isinstance(self, Latency):
+            return [self, *self.inner.reporters()]
+        return [self] if isinstance(self, Progress) else []
+
 
 def data_columns(df: DataFrame, order: list[str]) -> list[str]:
     """The columns that are not hidden."""
@@ -276,25 +285,30 @@ class Custom(Operator):
         return self.key
 
     def batch(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
-        names = [f.split()[0] for f in self.schema.split(", ")]
-        pos = f"_o{len(order)}"
-        kinds = ", ".join(f"{o} {df.schema[o].dataType.simpleString()}" for o in order)
+        shape = StructType.fromDDL(self.schema)
+        names, pos = shape.names, f"_o{len(order)}"
+        whole = StructType([*shape.fields, *[df.schema[o] for o in order], *StructType.fromDDL(f"{pos} int").fields])
+        arrow = to_arrow_schema(whole)
         key, make, step = self.key, self.make, self.step
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             current, state = None, None
-            for pdf in batches:
-                rows = []
-                for record in pdf.to_dict("records"):
-                    this = tuple(record[k] for k in key)
+            for batch in batches:
+                columns = batch.schema.names
+                at = [columns.index(k) for k in key]
+                hidden = [columns.index(o) for o in order]
+                rows: list[list] = []
+                for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    this = [values[k] for k in at]
                     if this != current:
                         current, state = this, make()
-                    for i, out in enumerate(step(state, record)):
-                        rows.append([*[out[n] for n in names], *[record[o] for o in order], i])
-                yield pd.DataFrame(rows, columns=[*names, *order, pos])
+                    for i, out in enumerate(step(state, dict(zip(columns, values, strict=True)))):
+                        rows.append([*[out[n] for n in names], *[values[o] for o in hidden], i])
+                made = zip(*rows, strict=True) if rows else [[]] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
 
         near = df.repartition(*key).sortWithinPartitions(*key, *order)
-        return near.mapInPandas(run, f"{self.schema}, {kinds}, {pos} int"), [*order, pos]
+        return near.mapInArrow(run, whole), [*order, pos]
 
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
         from tidefold.streaming.state import custom_stage
@@ -302,13 +316,43 @@ class Custom(Operator):
         return custom_stage(df, self.key, order, self.make, self.step, self.schema, self.ttl_ms)
 
 
+@dataclass(frozen=True)
+class Latest(Operator):
+    """The final form of ``Stateful``: one record a key, the folds' values at its end.
+
+    ``folds`` maps names to aggregate columns; their partial results meet, not the
+    records, so a key of any size is no burden. The order of the output is that of each
+    key's last record. On a stream the result would change without end, so it raises.
+    """
+
+    key: list[str]
+    folds: Callable[[Record], dict[str, Column]]
+
+    def keys(self) -> list[str]:
+        return self.key
+
+    def batch(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+        last = F.max(F.struct(*order)).alias("_last")
+        out = df.groupBy(*self.key).agg(*[c.alias(n) for n, c in self.folds(Record()).items()], last)
+        return out.select(*data_columns(out, ["_last"]), *[F.col(f"_last.{o}").alias(o) for o in order]), order
+
+    def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+        raise ValueError("a stream has no last record; use Stateful")
+
+
 @dataclass(frozen=True)
 class Progress(Operator):
-    """Records pass unchanged; their count is observed as ``name``."""
+    """Records pass unchanged; their count is observed as ``name``.
+
+    A stream reports a line, by ``log``, whenever ``interval`` more records have passed:
+    how many, how fast since the last line and on average. A batch has its count in ``to``
+    at the end, and ``measure.progress_line`` makes the line.
+    """
 
     name: str
     interval: int = 1
     to: Observation | None = field(default=None, compare=False)
+    log: Callable[[str], Any] = field(default=print, compare=False)
 
     def __post_init__(self) -> None:
         if self.interval <= 0:
@@ -320,43 +364,76 @@ class Progress(Operator):
 
 @dataclass(frozen=True)
 class Latency(Operator):
-    """The inner operators, with the delay of every ``sample_rate``-th record observed.
+    """The inner operators, with the time of every ``sample_rate``-th record observed.
 
-    ``since`` is a column of the time in microseconds that a record came at; what is
-    observed is the count, mean and extremes of now less that, in nanoseconds.
+    Without ``since``, what is timed is the inner operators themselves: a clock is read
+    before them and after them for the same record, in nanoseconds of one machine if they
+    keep no keys, and in milliseconds of the wall clock if records meet by key on the way.
+    With ``since``, a column of the time in microseconds that a record came at, it is the
+    age of a record, as for tick-to-signal delays. Samples are each partition's n-th
+    records, in a stream those that a hash of their order picks.
+
+    Observed as ``name``: count, min, max, mean and quantiles, cut to 1 ns .. 1000 s. A
+    stream reports a line, by ``log``, for every ``interval`` records.
     """
 
     name: str
     inner: Operator
-    since: Callable[[Record], Column]
+    since: Callable[[Record], Column] | None = None
     sample_rate: int = 1
     to: Observation | None = field(default=None, compare=False)
+    interval: int = 1000
+    log: Callable[[str], Any] = field(default=print, compare=False)
 
     def __post_init__(self) -> None:
-        if self.sample_rate <= 0:
-            raise ValueError("sample_rate must be positive")
+        if self.sample_rate <= 0 or self.interval <= 0:
+            raise ValueError("sample_rate and interval must be positive")
 
     def keys(self) -> list[str] | None:
         return self.inner.keys()
 
-    def _observed(self, df: DataFrame, order: list[str]) -> DataFrame:
-        now = F.unix_micros(F.current_timestamp())
-        delay = F.when(F.pmod(F.xxhash64(*order), F.lit(self.sample_rate)) == 0, (now - self.since(Record())) * 1000)
-        cut = F.least(F.greatest(delay, F.lit(1)), F.lit(10**12))
-        stats = {"count": F.count(cut), "min": F.min(cut), "max": F.max(cut), "mean": F.avg(cut)}
+    def _observed(self, df: DataFrame, delay: Column) -> DataFrame:
+        cut = F.when(delay.isNotNull(), F.least(F.greatest(delay, F.lit(1)), F.lit(10**12)))
+        stats = {"count": F.count(cut), "min": F.min(cut), "max": F.max(cut), "mean": F.avg(cut), "records": F.count(F.lit(1))}
+        stats |= {n: F.percentile_approx(cut, q, 1000) for n, q in QUANTILES.items()}
         return df.observe(self.to or self.name, *[c.alias(n) for n, c in stats.items()])
 
+    def _run(self, df: DataFrame, order: list[str], sampled: Column, lower: Callable) -> tuple[DataFrame, list[str]]:
+        if self.since is not None:
+            now = F.unix_micros(F.current_timestamp())
+            aged = df.withColumn("_sampled", sampled).withColumn("_age", F.when(F.col("_sampled"), (now - self.since(Record())) * 1000))
+            return lower(self._observed(aged, F.col("_age")).drop("_sampled", "_age"), order)
+        # a clock is read for each record: as a column of its own, so that nothing folds it
+        clock = F.expr("java_method('java.lang.System', 'currentTimeMillis')" if self.keys() else "java_method('java.lang.System', 'nanoTime')")
+        unit = 1_000_000 if self.keys() else 1
+        begun = df.withColumn("_sampled", sampled).withColumn("_clock", clock)
+        begun = begun.withColumn("_begin", F.when(F.col("_sampled"), F.col("_clock").cast("long"))).drop("_sampled", "_clock")
+        out, after = lower(begun, [*order, "_begin"])
+        kept = [o for o in after if o != "_begin"]
+        delay = (F.col("_clock").cast("long") - F.col("_begin")) * unit
+        return self._observed(out.withColumn("_clock", clock), delay).drop("_begin", "_clock"), kept
+
     def batch(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
-        return self.inner.batch(self._observed(df, order), order)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        sampled = F.lit(True) if self.sample_rate == 1 else (place + 1) % self.sample_rate == 0
+        return self._run(df, order, sampled, self.inner.batch)
 
     def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
-        return self.inner.stream(self._observed(df, order), order)
+        sampled = F.pmod(F.xxhash64(*order), F.lit(self.sample_rate)) == 0
+        return self._run(df, order, sampled, self.inner.stream)
 
 
 @dataclass(frozen=True)
 class _Composed(Operator):
     parts: tuple[Operator, ...]
 
+    def keys(self) -> list[str] | None:
+        found = [k for p in self.parts if (k := p.keys())]
+        return found[0] if found else None
+
+    def reporters(self) -> list[Progress | Latency]:
+        return [r for p in self.parts for r in p.reporters()]
+
     def batch(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
         for part in self.parts:
             df, order = part.batch(df, order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions import bucket, micros, saturating_unsigned
 from tidefold.measure import latency_stats, outliers
-from tidefold.operators import Custom, DedupBy, Delta, Filter, FilterMap, FlatMap, Inspect, Latency, Map, Progress, Stateful, TrackPrev, compose
+from tidefold.operators import Custom, DedupBy, Delta, Filter, FilterMap, FlatMap, Inspect, Latency, Latest, Map, Progress, Stateful, TrackPrev, compose
 from tidefold.plans import Fold
 from tidefold.plans.pipeline import Pipeline
 from tidefold.sources import Journal, load
@@ -102,9 +102,34 @@ def empty_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"))
 
 
-@query("SELECT count(*) AS n FROM events")
+def observed(spark: SparkSession, df: DataFrame, seen: Observation, names: tuple[str, ...]) -> DataFrame:
+    """One row of what is observed while a frame runs."""
+    df.write.format("noop").mode("overwrite").save()
+    values = [F.lit(seen.get[n]).alias(n) for n in names]
+    return spark.range(1).select(*values)
+
+
+@query("SELECT count(*) AS records FROM events")
 def progress_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipe().stage(Progress("events", 1000, Observation("progress"))).run(events(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation("progress")
+    return observed(spark, pipe().stage(Progress("events", 1000, seen)).run(events(spark, sf_dir)), seen, ("records",))
+
+
+@query("SELECT count(*) AS n, round(max(value), 4) AS highest FROM events")
+def inspect_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = Observation("inspected")
+    watched = Inspect({"n": F.count(F.lit(1)), "highest": F.round(F.max("value"), 4)}, seen)
+    return observed(spark, pipe().stage(watched).run(events(spark, sf_dir)), seen, ("n", "highest"))
+
+
+@query("SELECT count(*) AS records, count(*) AS count, true AS ordered FROM events")
+def latency_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of a wrapped stage differ from run to run; their number and order do not."""
+    seen = Observation("timed")
+    timed = Latency("map", Map(lambda r: {"v": r.event_id + 1}), to=seen)
+    out = observed(spark, pipe().stage(timed).run(events(spark, sf_dir)), seen, ("records", "count", "min", "p50", "p999", "max"))
+    ordered = (F.col("min") >= 1) & (F.col("min") <= F.col("p50")) & (F.col("p50") <= F.col("p999")) & (F.col("p999") <= F.col("max"))
+    return out.select("records", "count", ordered.alias("ordered"))
 
 
 @query("SELECT event_id, event_id + 1 AS v FROM events")
@@ -199,8 +224,9 @@ def stateful_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
 def stateful_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = events(spark, sf_dir).groupBy("user_id")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max_by("event_type", "event_id").alias("last_type"))
+    final = lambda r: {"n": F.count(F.lit(1)), "total": F.sum(r.value), "last_type": F.max_by(r.event_type, r.event_id)}
+    out = pipe().stage(Latest(["user_id"], final)).run(events(spark, sf_dir))
+    return out.withColumn("total", F.round("total", 4))
 
 
 CENTS = "CAST(round(value * 100) AS BIGINT) * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END"
@@ -390,46 +416,89 @@ def _book(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     return out.run(messages(spark, sf_dir))
 
 
-@query()
+# Live orders one message after another (o, s), the changes they give (d), volumes (e, v),
+# and the five best levels of each side as lists (f, t).
+ORDERS = f"""m AS MATERIALIZED (SELECT event_id, epoch_us(ts) AS ts, user_id AS order_id, CAST(trunc(value) AS BIGINT) % 10 + 100 AS price, event_id % 20 + 1 AS size,
+        user_id % 8 AS instrument_id, CASE WHEN user_id % 16 < 8 THEN 'A' ELSE 'B' END AS side, CASE WHEN event_id % 997 = 0 THEN 'R' ELSE
+        CASE event_type WHEN 'signup' THEN 'A' WHEN 'purchase' THEN 'A' WHEN 'view' THEN 'M' WHEN 'click' THEN 'C' WHEN 'error' THEN 'F' END END AS action FROM events),
+    c AS MATERIALIZED (SELECT *, sum(CASE WHEN action = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY ts, event_id) AS epoch FROM m),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY instrument_id, epoch, order_id ORDER BY ts, event_id) AS rn FROM c),
+    s AS (SELECT instrument_id, epoch, order_id, rn, event_id, CAST(NULL AS BIGINT) AS was, CAST(NULL AS BIGINT) AS held,
+            CASE WHEN action IN ('A', 'M') THEN price END AS p, CASE WHEN action IN ('A', 'M') THEN size END AS z FROM o WHERE rn = 1
+        UNION ALL SELECT o.instrument_id, o.epoch, o.order_id, o.rn, o.event_id, s.p, s.z,
+            CASE WHEN action IN ('A', 'M') THEN price WHEN action = 'C' OR action = 'F' AND s.z <= size THEN NULL ELSE s.p END,
+            CASE WHEN action IN ('A', 'M') THEN size WHEN action = 'C' OR action = 'F' AND s.z <= size THEN NULL WHEN action = 'F' THEN s.z - size ELSE s.z END
+        FROM o JOIN s ON o.instrument_id = s.instrument_id AND o.epoch = s.epoch AND o.order_id = s.order_id AND o.rn = s.rn + 1),
+    d AS MATERIALIZED (SELECT m.instrument_id, m.ts, m.event_id, m.side, k.pos, m.action = 'R' AS is_clear,
+            CASE WHEN m.action = 'R' THEN 0 WHEN m.action = 'M' AND k.pos = 0 AND s.was IS NOT NULL AND s.was <> m.price THEN s.was ELSE m.price END AS price,
+            CASE WHEN m.action = 'R' THEN 0 WHEN m.action IN ('C', 'F') THEN -m.size WHEN m.action = 'A' OR s.was IS NULL OR k.pos = 1 THEN m.size
+                WHEN s.was = m.price THEN m.size - s.held ELSE -s.held END AS delta
+        FROM m JOIN s USING (event_id) JOIN (VALUES (0), (1)) AS k(pos) ON k.pos = 0 OR m.action = 'M' AND s.was IS NOT NULL AND s.was <> m.price)"""
+LEVELS = f"""{ORDERS},
+    b AS MATERIALIZED (SELECT *, sum(CASE WHEN is_clear THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY ts, event_id, pos) AS epoch FROM d),
+    x AS MATERIALIZED (SELECT instrument_id, ts, event_id, pos, 0 AS part, epoch, side, price, delta FROM b WHERE NOT is_clear
+        UNION ALL SELECT instrument_id, ts, event_id, pos, k.part, epoch, k.side, 0, 0 FROM b, (VALUES (0, 'B'), (1, 'A')) AS k(part, side) WHERE is_clear),
+    e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY instrument_id, epoch, side, price ORDER BY ts, event_id, pos, part) AS rn FROM x),
+    v AS (SELECT instrument_id, epoch, side, price, rn, ts, event_id, pos, part, greatest(0, delta) AS volume FROM e WHERE rn = 1
+        UNION ALL SELECT e.instrument_id, e.epoch, e.side, e.price, e.rn, e.ts, e.event_id, e.pos, e.part, greatest(0, v.volume + e.delta)
+        FROM e JOIN v ON e.instrument_id = v.instrument_id AND e.epoch = v.epoch AND e.side = v.side AND e.price = v.price AND e.rn = v.rn + 1)"""
+
+
+def _put(rows: str, side: str, worse: str) -> str:
+    """SQL: the list of levels after a volume is put into it."""
+    empty = "{'p': 0::BIGINT, 'v': 0::BIGINT}"
+    new = "{'p': f.price, 'v': f.volume}"
+    behind = f"(y.p = 0 OR f.price {worse} y.p)"
+    return f"""CASE WHEN f.side <> '{side}' THEN {rows}
+        WHEN f.price = 0 THEN {rows}
+        WHEN list_contains(list_transform({rows}, lambda y: y.p), f.price) THEN CASE WHEN f.volume > 0
+            THEN list_transform({rows}, lambda y: CASE WHEN y.p = f.price THEN {new} ELSE y END)
+            ELSE list_append(list_filter({rows}, lambda y: y.p <> f.price), {empty}) END
+        WHEN f.volume > 0 THEN list_slice(list_concat(list_append(list_filter({rows}, lambda y: NOT {behind}), {new}), list_filter({rows}, lambda y: {behind})), 1, 5)
+        ELSE {rows} END"""
+
+
+FIVE = "list_transform(range(5), lambda i: {'p': 0::BIGINT, 'v': 0::BIGINT})"
+TOPS = f"""{LEVELS},
+    f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts, event_id, pos, part) AS place FROM v),
+    z AS (SELECT DISTINCT instrument_id, 0::BIGINT AS place, {FIVE} AS asks, {FIVE} AS bids FROM f),
+    t AS (SELECT instrument_id, place, asks, bids, 0::BIGINT AS ts FROM z
+        UNION ALL SELECT f.instrument_id, f.place, {_put("t.asks", "A", "<")}, {_put("t.bids", "B", ">")}, f.ts
+        FROM f JOIN t ON f.instrument_id = t.instrument_id AND f.place = t.place + 1)"""
+
+
+@query(f"WITH RECURSIVE {ORDERS} SELECT instrument_id, ts, ts AS ts_recv, CASE WHEN NOT is_clear THEN side END AS side, CAST(price AS BIGINT) AS price, CAST(delta AS BIGINT) AS delta, is_clear FROM d")
 def book_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, sf_dir, [[orderbook.order_tracker()]])
 
 
-LEVEL = "CAST(trunc(value) AS BIGINT) % 10"
+@query(f"WITH RECURSIVE {LEVELS} SELECT instrument_id AS symbol, ts, ts AS ts_recv, side, CAST(price AS BIGINT) AS price, CAST(volume AS BIGINT) AS volume FROM v")
+def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book(spark, sf_dir, [[orderbook.order_tracker()], orderbook.levels()])
+
+
+def _listed(rows: str, name: str) -> str:
+    return f"array_to_string(list_transform({rows}, lambda y: CAST(y.{name} AS VARCHAR)), ',')"
 
 
 @query(
-    f"""WITH RECURSIVE m AS (SELECT event_id, user_id % 8 AS instrument_id, {LEVEL} AS price,
-        (event_id % 20 + 1) * CASE WHEN event_type IN ('signup', 'purchase') THEN 1 ELSE -1 END AS d,
-        sum(CASE WHEN event_id % 997 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS epoch, ts FROM events),
-    e AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, epoch, price ORDER BY ts, event_id) AS rn FROM m),
-    s AS (SELECT event_id, instrument_id, epoch, price, rn, greatest(0, d) AS volume FROM e WHERE rn = 1
-        UNION ALL SELECT e.event_id, e.instrument_id, e.epoch, e.price, e.rn, greatest(0, s.volume + e.d)
-        FROM e JOIN s ON e.instrument_id = s.instrument_id AND e.epoch = s.epoch AND e.price = s.price AND e.rn = s.rn + 1)
-    SELECT event_id, instrument_id, CAST(epoch AS BIGINT) AS epoch, price, volume FROM s"""
+    f"""WITH RECURSIVE {TOPS} SELECT instrument_id AS symbol, ts, ts AS ts_recv, {_listed("asks", "p")} AS ask_price, {_listed("asks", "v")} AS ask_size,
+    {_listed("bids", "p")} AS bid_price, {_listed("bids", "v")} AS bid_size FROM t WHERE place > 0"""
 )
-def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level volumes with clears, from signed sizes alone."""
-    source = Map(
-        lambda r: {
-            "event_id": r.event_id,
-            "instrument_id": r.user_id % 8,
-            "price": r.value.cast("bigint") % 10,
-            "d": (r.event_id % 20 + 1) * F.when(r.event_type.isin("signup", "purchase"), 1).otherwise(-1),
-            "clear": F.when(r.event_id % 997 == 0, 1).otherwise(0).cast("bigint"),
-        }
-    )
-    last = lambda n: Fold.last(lambda r: r[n], "bigint")
-    epochs = Stateful(["instrument_id"], {n: last(n) for n in ("event_id", "price", "d")} | {"epoch": Fold.sum(lambda r: r.clear, "bigint")})
-    volumes = Stateful(["instrument_id", "epoch", "price"], {"event_id": last("event_id"), "volume": Fold.clamped_sum(lambda r: r.d)})
-    return pipe().stage(source, epochs, volumes).run(events(spark, sf_dir))
+def book_top_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best levels, lists joined by commas."""
+    out = _book(spark, sf_dir, [[orderbook.order_tracker()], orderbook.levels(), [orderbook.top_levels()]])
+    lists = ("ask_price", "ask_size", "bid_price", "bid_size")
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists})
 
 
-@query()
-def book_top_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _book(spark, sf_dir, [[orderbook.order_tracker()], orderbook.levels(), [orderbook.top_levels()]])
+def _weighted(rows: str) -> str:
+    return " + ".join(f"{rows}[{i + 1}].v * {w}::DOUBLE" for i, w in enumerate(orderbook.WEIGHTS))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TOPS}, w AS (SELECT instrument_id, ts, {_weighted("bids")} AS bid_vol, {_weighted("asks")} AS ask_vol FROM t WHERE place > 0)
+    SELECT instrument_id AS symbol, ts, ts AS ts_recv, (bid_vol - ask_vol) / (bid_vol + ask_vol) AS imbalance, bid_vol, ask_vol FROM w WHERE bid_vol + ask_vol > 0"""
+)
 def book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderbook.pipeline(("ts", "event_id")).run(messages(spark, sf_dir))

@@ -6,15 +6,23 @@ of Parquet files. Readers are cursors; many may read one journal.
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.plans.pipeline import CapacityExceeded
 
 
+#: How often an append looks for a free place, a twentieth of a second apart.
+TRIES = 600
+
+
 @dataclass
 class Journal:
     """``df`` with the index column ``seq``, from 0 without gaps."""
@@ -128,7 +136,10 @@ class JournalStore:
     """A journal in a folder of Parquet files, or in memory without a path.
 
     ``size`` is the capacity in records over its lifetime; None is unbounded.
-    Unlike a memory-mapped file, a reopened store goes on where it ended.
+    Unlike a memory-mapped file, a reopened store goes on where it ended. An append
+    becomes a folder named by its first and last index, moved into place in one step that
+    fails if another writer has taken that place; it then numbers its records anew. So
+    indices have no gaps and no doubles, and a reader sees whole appends.
     """
 
     spark: SparkSession
@@ -139,16 +150,29 @@ class JournalStore:
 
     def __post_init__(self) -> None:
         self._memory = self.spark.createDataFrame([], f"{self.seq} bigint, {self.schema}")
+        self._count = self._parts = 0
+
+    def _files(self) -> tuple:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def count(self) -> int:
+        """Records so far, from the names of the appends."""
+        if self.path is None:
+            return self._count
+        folder, files = self._files()
+        if not files.exists(folder):
+            return 0
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        return max((int(n.split("-")[1]) + 1 for n in names if n.startswith("from=")), default=0)
 
     def journal(self) -> Journal:
         """What has been appended so far."""
-        if self.path is None:
+        if self.path is None or not self.count():
             return Journal(self._memory, self.seq)
-        reader = self.spark.read.schema(f"{self.seq} bigint, {self.schema}")
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-        return Journal(reader.parquet(self.path) if there else self._memory, self.seq)
+        reader = self.spark.read.schema(f"{self.seq} bigint, {self.schema}").option("recursiveFileLookup", "true")
+        return Journal(reader.parquet(f"{self.path}/from=*"), self.seq)
 
     def append(self, rows: DataFrame, order: list[str]) -> int:
         """Appends records in the order given; returns the new size.
@@ -158,18 +182,83 @@ class JournalStore:
         """
         from tidefold.plans.ranged import materialised
 
-        had, more = self.journal().size(), rows.count()
-        if self.size is not None and had + more > self.size:
-            raise CapacityExceeded("Store is full")
         parts = materialised(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
         sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         starts = sizes.select("_part", before.alias("_start"))
         place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-        named = parts.withColumn("_place", place).join(starts, "_part")
-        out = named.select((F.lit(had) + F.col("_start") + F.col("_place")).cast("long").alias(self.seq), *rows.columns)
-        if self.path is None:
-            self._memory = materialised(self._memory.unionByName(out))
-        else:
-            out.write.mode("append").parquet(self.path)
-        return had + more
+        named = parts.withColumn("_place", place).join(starts, "_part").withColumn("_at", F.col("_start") + F.col("_place"))
+        more = sizes.agg(F.sum("_n")).first()[0] or 0
+        for _ in range(TRIES):
+            had = self.count()
+            if self.size is not None and had + more > self.size:
+                raise CapacityExceeded("Store is full")
+            if not more:
+                return had
+            out = named.select((F.lit(had) + F.col("_at")).cast("long").alias(self.seq), *rows.columns)
+            if self.path is None:
+                self._keep(materialised(out))
+                self._count = had + more
+                return self._count
+            if self._moved(out, had, more):
+                return had + more
+        raise RuntimeError("another writer has taken the next place and not filled it")
+
+    def _keep(self, part: DataFrame) -> None:
+        """One more part; many are written as one, so the plan stays short."""
+        from tidefold.plans.ranged import materialised
+
+        self._memory, self._parts = self._memory.unionByName(part), self._parts + 1
+        if self._parts >= 64:
+            self._memory, self._parts = materialised(self._memory), 0
+
+    def _moved(self, out: DataFrame, had: int, more: int) -> bool:
+        """Writes an append aside and moves it into place; False if the place is taken."""
+        folder, files = self._files()
+        jvm = self.spark._jvm
+        aside = f"{self.path}/_aside-{uuid.uuid4()}"
+        out.write.parquet(aside)
+        if not self._claimed(had):
+            files.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+            time.sleep(0.05)  # until it has moved its append
+            return False
+        return files.rename(jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{self.path}/from={had:019d}-{had + more - 1:019d}"))
+
+
+    def _claimed(self, at: int) -> bool:
+        """Whether the place from an index on is now this writer's; one of several gets it."""
+        folder, files = self._files()
+        claim = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"_claim-{at:019d}")
+        if files.getScheme() == "file":  # where Hadoop looks first and creates then
+            try:
+                os.close(os.open(claim.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            files.create(claim, False).close()
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in str(error.java_exception):
+                raise
+            return False
+        return True
+
+
+class Slots:
+    """The newest state of each slot, which writers set by number."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.store = JournalStore(spark, f"_i bigint, slot bigint, {schema}")
+
+    def set(self, at: int, *state: object) -> None:
+        """Puts a state in a slot."""
+        self.set_all([(at, *state)])
+
+    def set_all(self, rows: list[tuple]) -> None:
+        """Puts many, in order; of several for a slot the last stays."""
+        held = self.store.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], self.store.schema)
+        self.store.append(held, ["_i"])
+
+    def latest(self) -> DataFrame:
+        """Slot and state of every slot that was set."""
+        return self.store.journal().latest("slot").drop(self.store.seq, "_i")

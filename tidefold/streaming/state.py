@@ -11,6 +11,7 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -33,7 +34,7 @@ class _Pickled(StatefulProcessor):
         for row in sorted(rows, key=lambda r: tuple(r[o] for o in self.order)):
             state, found = self.update(state, row)
             out += found
-        self.state.update((pickle.dumps(state),))
+        self.state.update((_pickled(state),))
         for values in out:
             yield Row(**dict(zip(self.names, values, strict=True)))
 
@@ -41,6 +42,13 @@ class _Pickled(StatefulProcessor):
         pass
 
 
+def _pickled(state: Any) -> bytes:
+    try:
+        return pickle.dumps(state)
+    except pickle.PicklingError:  # of a class that travelled here with its functions
+        return cloudpickle.dumps(state)
+
+
 def _keyed(df: DataFrame, key: list[str], order: list[str], update: Callable, schema: StructType, ttl_ms: int | None = None) -> DataFrame:
     return df.groupBy(*key).transformWithState(_Pickled(order, schema.names, update, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
@@ -80,7 +88,7 @@ def running_folds(df: DataFrame, key: list[str], order: list[str], folds: dict[s
 def custom_stage(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Any], step: Callable[[Any, dict], Iterable[dict]], schema: str, ttl_ms: int | None = None) -> tuple[DataFrame, list[str]]:
     """A Python stage by key; outputs of one record are numbered in a new order column."""
     pos = f"_o{len(order)}"
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = StructType.fromDDL(schema).names
     shape = StructType([*StructType.fromDDL(schema).fields, *[df.schema[o] for o in order], *StructType.fromDDL(f"{pos} int").fields])
 
     def update(state: Any, row: Row) -> tuple[Any, list[tuple]]:

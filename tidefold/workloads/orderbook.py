@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column
+import math
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.operators import Custom, FilterMap, FlatMap, Map, Operator, Stateful
+from tidefold.operators import Custom, FilterMap, FlatMap, Latency, Map, Operator, Stateful
 from tidefold.plans import Fold
+from tidefold.plans.fold import ordered, running
 from tidefold.plans.pipeline import Pipeline
 
 DEPTH = 5
@@ -18,57 +24,88 @@ DELTAS = "instrument_id bigint, ts bigint, ts_recv bigint, side string, price bi
 TOPS = "symbol bigint, ts bigint, ts_recv bigint, ask_price array<bigint>, ask_size array<bigint>, bid_price array<bigint>, bid_size array<bigint>"
 
 
-class Orders:
-    """Live orders of an instrument."""
+def _changes(live: dict[int, tuple[int, int]], m: dict) -> Iterator[tuple[int, int]]:
+    """(price, change of volume) for a message; ``live`` has the price and size of each order."""
+    order, price, size = m["order_id"], m["price"], m["size"]
+    action = m["action"]
+    if action == "A":
+        live[order] = price, size
+        yield price, size
+    elif action == "C":
+        live.pop(order, None)
+        yield price, -size
+    elif action in ("F", "T"):
+        if order in live:
+            was, left = live[order]
+            live[order] = was, max(0, left - size)
+            if left <= size:
+                del live[order]
+        yield price, -size
+    elif action == "M":
+        old = live.get(order)
+        live[order] = price, size
+        if old is None:
+            yield price, size
+        elif old[0] == price:
+            yield price, size - old[1]
+        else:
+            yield old[0], -old[1]
+            yield price, size
 
-    def __init__(self) -> None:
-        self.live: dict[int, tuple[int, int]] = {}
 
-    def changes(self, m: dict) -> Iterator[tuple[int, int]]:
-        """(price, change of volume) for a message."""
-        order, price, size = m["order_id"], m["price"], m["size"]
-        action = m["action"]
-        if action == "A":
-            self.live[order] = price, size
-            yield price, size
-        elif action == "C":
-            self.live.pop(order, None)
-            yield price, -size
-        elif action in ("F", "T"):
-            if order in self.live:
-                was, left = self.live[order]
-                self.live[order] = was, max(0, left - size)
-                if left <= size:
-                    del self.live[order]
-            yield price, -size
-        elif action == "M":
-            old = self.live.get(order)
-            self.live[order] = price, size
-            if old is None:
-                yield price, size
-            elif old[0] == price:
-                yield price, size - old[1]
-            else:
-                yield old[0], -old[1]
-                yield price, size
-
-
-def _track(state: Orders, m: dict) -> Iterator[dict]:
+def _track(live: dict, m: dict) -> Iterator[dict]:
     base = {"instrument_id": m["instrument_id"], "ts": m["ts"], "ts_recv": m["ts_recv"]}
     if m["action"] == "R":
-        state.live.clear()
+        live.clear()
         yield base | {"side": None, "price": 0, "delta": 0, "is_clear": True}
         return
-    for price, delta in state.changes(m):
+    for price, delta in _changes(live, m):
         yield base | {"side": m["side"], "price": price, "delta": delta, "is_clear": False}
 
 
-def order_tracker() -> Operator:
+@dataclass(frozen=True)
+class OrderTracker(Operator):
     """Messages to level changes: one, two or none each; a clear gives a clear row.
 
-    Orders are tracked by instrument, so an order id must not move between them.
+    Orders are tracked by instrument, so an order id must not move between them. Only a
+    modification needs an order's past: its last message that set or ended it, and what
+    was filled since. In batch those are windows over the order's messages since the last
+    clear; a stream keeps the live orders of an instrument.
     """
-    return Custom(["instrument_id"], Orders, _track, DELTAS)
+
+    def keys(self) -> list[str]:
+        return ["instrument_id"]
+
+    def batch(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+        pos = f"_o{len(order)}"
+        action, price, size = F.col("action"), F.col("price"), F.col("size")
+        filled = F.when(action.isin("F", "T"), size)
+        clears = F.sum(F.when(action == "R", 1).otherwise(0)).over(running(["instrument_id"], order))
+        one = ordered(["instrument_id", "_epoch", "order_id"], order)
+        upto, before = one.rowsBetween(Window.unboundedPreceding, 0), one.rowsBetween(Window.unboundedPreceding, -1)
+        held = df.withColumn("_epoch", clears)
+        held = held.withColumns({"_filled": F.coalesce(F.sum(filled).over(upto), F.lit(0)), "_fills": F.count(filled).over(upto)})
+        setting = F.when(action.isin("A", "M", "C"), F.struct("action", "price", "size", "_filled", "_fills"))
+        held = held.withColumn("_last", F.last(setting, ignorenulls=True).over(before))
+        left = F.greatest(F.col("_last.size") - (F.col("_filled") - F.col("_last._filled")), F.lit(0))
+        live = F.coalesce((F.col("_last.action") != "C") & ((left > 0) | (F.col("_fills") == F.col("_last._fills"))), F.lit(False))
+        change = lambda price, delta: F.struct(price.alias("price"), delta.alias("delta"))
+        whole = change(price, size)
+        moved = F.when(F.col("_last.price") == price, F.array(change(price, size - left))).otherwise(F.array(change(F.col("_last.price"), -left), whole))
+        zero = F.lit(0).cast("bigint")
+        none = F.array().cast("array<struct<price:bigint,delta:bigint>>")
+        changes = F.when(action == "A", F.array(whole)).when(action.isin("C", "F", "T"), F.array(change(price, -size)))
+        changes = changes.when(action == "M", F.when(live, moved).otherwise(F.array(whole))).when(action == "R", F.array(change(zero, zero))).otherwise(none)
+        out = held.select("instrument_id", "ts", "ts_recv", F.when(action != "R", F.col("side")).alias("side"), (action == "R").alias("is_clear"), *order, F.posexplode(changes).alias(pos, "_c"))
+        return out.select("instrument_id", "ts", "ts_recv", "side", F.col("_c.price").alias("price"), F.col("_c.delta").alias("delta"), "is_clear", *order, pos), [*order, pos]
+
+    def stream(self, df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+        return Custom(["instrument_id"], dict, _track, DELTAS).stream(df, order)
+
+
+def order_tracker() -> Operator:
+    """Messages to level changes; see ``OrderTracker``."""
+    return OrderTracker()
 
 
 def levels() -> list[Operator]:
@@ -106,36 +143,40 @@ def levels() -> list[Operator]:
     ]
 
 
-class Book:
-    """The five best asks and bids as they were put in; price 0 is an empty slot.
+def new_book() -> dict[str, list[tuple[int, int]]]:
+    """The five best (price, volume) of asks and bids; price 0 is an empty slot."""
+    return {"A": [(0, 0)] * DEPTH, "B": [(0, 0)] * DEPTH}
 
-    A level that falls off the end comes back only with its own next update.
-    """
 
-    def __init__(self) -> None:
-        self.sides = {"A": [(0, 0)] * DEPTH, "B": [(0, 0)] * DEPTH}
+def put(book: dict[str, list[tuple[int, int]]], side: str, price: int, volume: int, reset_on_clear: bool = False) -> None:
+    """One level's new volume.
 
-    def put(self, side: str, price: int, volume: int) -> None:
-        """One level's new volume."""
-        rows = self.sides.get(side)
-        if rows is None:
-            return
-        prices = [p for p, _ in rows]
-        if price in prices:
-            i = prices.index(price)
-            rows[i : i + 1] = [(price, volume)] if volume else []
-            rows += [(0, 0)] * (DEPTH - len(rows))
-        elif volume > 0:
-            worse = (i for i, p in enumerate(prices) if p == 0 or (price < p if side == "A" else price > p))
-            i = next(worse, None)
-            if i is not None:
-                rows.insert(i, (price, volume))
-                rows.pop()
-
-
-def _top(state: Book, level: dict) -> Iterator[dict]:
-    state.put(level["side"], level["price"], level["volume"])
-    asks, bids = state.sides["A"], state.sides["B"]
+    A level that falls off the end comes back only with its own next update. A clear,
+    which comes as price 0, leaves the book as it is, unless ``reset_on_clear``.
+    """
+    rows = book.get(side)
+    if rows is None:
+        return
+    if price == 0:
+        if reset_on_clear:
+            book[side] = [(0, 0)] * DEPTH
+        return
+    prices = [p for p, _ in rows]
+    if price in prices:
+        i = prices.index(price)
+        rows[i : i + 1] = [(price, volume)] if volume else []
+        rows += [(0, 0)] * (DEPTH - len(rows))
+    elif volume > 0:
+        worse = (i for i, p in enumerate(prices) if p == 0 or (price < p if side == "A" else price > p))
+        i = next(worse, None)
+        if i is not None:
+            rows.insert(i, (price, volume))
+            rows.pop()
+
+
+def _top(book: dict, level: dict, reset_on_clear: bool = False) -> Iterator[dict]:
+    put(book, level["side"], level["price"], level["volume"], reset_on_clear)
+    asks, bids = book["A"], book["B"]
     yield {
         "symbol": level["symbol"], "ts": level["ts"], "ts_recv": level["ts_recv"],
         "ask_price": [p for p, _ in asks], "ask_size": [s for _, s in asks],
@@ -143,9 +184,9 @@ def _top(state: Book, level: dict) -> Iterator[dict]:
     }
 
 
-def top_levels() -> Operator:
+def top_levels(reset_on_clear: bool = False) -> Operator:
     """Level volumes to the top of the book after each."""
-    return Custom(["symbol"], Book, _top, TOPS)
+    return Custom(["symbol"], new_book, partial(_top, reset_on_clear=reset_on_clear), TOPS)
 
 
 def imbalance() -> Operator:
@@ -168,6 +209,33 @@ def high_imbalance(signals: Pipeline, above: float = 0.98) -> Pipeline:
     return signals.stage(FilterMap(lambda r: (F.abs(r.imbalance) > above, {n: r[n] for n in ("symbol", "ts", "imbalance")})))
 
 
-def pipeline(order: tuple[str, ...]) -> Pipeline:
+class ThrottledLog:
+    """Writes high imbalances of a stream's results to ``log``, one line in ``seconds`` at most.
+
+    ``batch`` is what ``foreachBatch`` takes; the newest signal of a batch is written.
+    """
+
+    def __init__(self, above: float = 0.98, seconds: float = 0.5, log: Callable[[str], object] = print) -> None:
+        self.above, self.seconds, self.log = above, seconds, log
+        self._last = -math.inf
+
+    def batch(self, signals: DataFrame, number: int) -> None:
+        """One micro-batch of signals."""
+        if time.monotonic() - self._last <= self.seconds:
+            return
+        row = signals.where(F.abs("imbalance") > self.above).orderBy(F.desc("ts"), "symbol").limit(1).collect()
+        for r in row:
+            self.log(f"[Sym:{r.symbol}] High Imbalance: {r.imbalance:.4f} (B:{r.bid_vol:.0f} A:{r.ask_vol:.0f})")
+            self._last = time.monotonic()
+
+
+def tick_to_signal(order: tuple[str, ...], every: int = 1000, **report: Any) -> Pipeline:
+    """``pipeline`` with the age of every ``every``-th level change observed, from
+    ``ts_recv`` in nanoseconds of the wall clock."""
+    timed = Latency("tick-to-signal", top_levels(), lambda r: (r.ts_recv / 1000).cast("bigint"), sample_rate=every, **report)
+    return Pipeline(order).stage(order_tracker()).stage(*levels()).stage(timed, imbalance())
+
+
+def pipeline(order: tuple[str, ...], reset_on_clear: bool = False) -> Pipeline:
     """Messages (ts, ts_recv, order_id, price, size, instrument_id, action, side) to signals."""
-    return Pipeline(order).stage(order_tracker()).stage(*levels()).stage(top_levels(), imbalance())
+    return Pipeline(order).stage(order_tracker()).stage(*levels()).stage(top_levels(reset_on_clear), imbalance())
