@@ -3,28 +3,30 @@
 A string of ``length`` bytes is a window. Windows are brought together by anchors: of
 the k-grams in a window, the one with the least hash is its anchor, so equal windows
 have equal anchors at equal offsets, and the windows of an anchor are one stretch of
-a document. Then, each step handing less to the next:
+a document. A pass before the sort, then the sort of what that leaves open:
 
 1. Each anchor sends its hash, a hash of its stretch and the document to a shard,
    once a batch of documents and stretch. The shard tells which anchors occur in
    several documents at all, and settles stretches that are equal as a whole.
-   Of an anchor with more entries than a task holds, all stretches are looked at.
 2. Of stretches that share an anchor and differ, one copy each is cut into pieces
-   around wider anchors and sent to a shard, which sorts all suffixes of its pieces
-   by induced sorting. Runs of suffixes with a common prefix of a window or
-   more are equal windows; the least document of a run keeps it.
-3. A key with more than ``SORTED`` bytes of pieces is not sorted. Its windows, folded
-   piece by piece, are dealt anew by their own hashes over all tasks.
+   around wider anchors and sent to the task of their key. All pieces of a task are
+   one text on disk, whose suffixes are sorted by external induced sorting
+   (``suffix``). Runs of suffixes with a common prefix of a window or more are equal
+   windows; the least document of a run keeps it.
+3. An anchor with more than ``HOT`` stretches, such as that of a very frequent line in
+   ever new contexts, sends no pieces. Its windows, folded batch by batch, are dealt by
+   their own hashes over all tasks.
 4. The covered stretches go back to their documents.
 
-So no task holds all pieces of a frequent line. Stretches are compared by hashes of
-64 bits of the k-grams they hold, suffixes by their bytes, windows that are dealt
-anew by hashes of 128 bits.
+So no task gets what surrounds a frequent line. Stretches are compared by hashes of
+64 bits of the k-grams they hold, suffixes by their bytes, windows of hot anchors by
+hashes of 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -34,8 +36,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import checkpoint, stored, utf8
-from tidefold.llm.suffix import suffix_array
+from tidefold.llm.common import checkpoint, frugal, utf8
+from tidefold.llm.suffix import suffix_blocks
 
 #: Bytes of a window.
 WINDOW = 50
@@ -43,9 +45,10 @@ WINDOW = 50
 SEED = 20
 #: Offsets of an anchor in a window that one piece holds together.
 CLASS = 12
-#: Bytes of documents that are hashed at once, and of pieces sorted at once.
+#: Bytes of documents that are hashed at once.
 CHUNK = 1 << 18
-SORTED = 1 << 21
+#: Differing stretches of an anchor that are sorted together; of more, the windows are dealt.
+HOT = 2048
 #: Entries of a shard that a task holds.
 HELD = 1 << 20
 #: Bytes of text whose anchors a shard holds, about.
@@ -166,18 +169,22 @@ def _unpack_ids(data: bytes) -> np.ndarray:
 def _packed(shard: list[int], pairs: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
     """Entries on their way to shards."""
     none = pa.nulls(len(shard), pa.int64())
-    return pa.record_batch([pa.array(shard, pa.int64()), pa.array(pairs, pa.binary()), pa.array(ids, pa.binary()), none, none, pa.nulls(len(shard), pa.bool_())], _ENTRY)
+    return pa.record_batch([pa.array(shard, pa.int64()), pa.array(pairs, pa.binary()), pa.array(ids, pa.binary()), none, none, pa.nulls(len(shard), pa.int32())], _ENTRY)
 
 
-def _said(ids: np.ndarray, entry: np.ndarray, mixed: np.ndarray) -> pa.RecordBatch:
-    """Replies to documents: an entry that is covered whole, or is to be looked at."""
+#: What a document is told of an entry: it is covered whole, or its pieces or windows are to be looked at.
+WHOLE, PIECES, WINDOWS = 0, 1, 2
+
+
+def _said(ids: np.ndarray, entry: np.ndarray, how: np.ndarray) -> pa.RecordBatch:
+    """Replies to documents."""
     none = pa.nulls(len(ids), pa.binary())
     shard = -1 - (entry % np.uint64(1 << 20)).astype(np.int64)
-    return pa.record_batch([pa.array(shard), none, none, pa.array(ids), pa.array(entry.view(np.int64)), pa.array(mixed)], _ENTRY)
+    return pa.record_batch([pa.array(shard), none, none, pa.array(ids), pa.array(entry.view(np.int64)), pa.array(how, pa.int32())], _ENTRY)
 
 
-_ENTRY = ["shard", "pairs", "ids", "id", "entry", "mixed"]
-_ENTRIES = "shard long, pairs binary, ids binary, id long, entry long, mixed boolean"
+_ENTRY = ["shard", "pairs", "ids", "id", "entry", "how"]
+_ENTRIES = "shard long, pairs binary, ids binary, id long, entry long, how int"
 
 
 def _anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
@@ -197,7 +204,7 @@ def _anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
             is_least = mine[order] == least
             later = order[~is_least]
             if len(later):
-                yield _said(mine[later], entry[later], np.zeros(len(later), bool))
+                yield _said(mine[later], entry[later], np.full(len(later), WHOLE))
             # of the entries of the least document, the first
             rank = np.where(is_least, np.arange(len(order)), len(order))
             rep = np.sort(order[np.minimum.reduceat(rank, head)])
@@ -209,7 +216,7 @@ def _anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
             pairs, owners = np.stack([h[rep], s[rep]], axis=1), mine[rep]
             yield _packed([int(shard[a]) for a, _ in spans], [pairs[a:b].tobytes() for a, b in spans], [_pack_ids(owners[a:b]) for a, b in spans])
 
-    return docs.mapInArrow(run, _ENTRIES)
+    return docs.mapInArrow(frugal(run), _ENTRIES)
 
 
 def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -220,7 +227,7 @@ def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     order = order[np.append(False, twin) | np.append(twin, False)]  # others are in one document
     h, s, ids = h[order], s[order], ids[order]
     if not len(h):
-        return _said(ids, h, np.zeros(0, bool))
+        return _said(ids, h, np.zeros(0, int))
     order = np.lexsort((ids, s, h))
     h, s, ids = h[order], s[order], ids[order]
     by_h = np.append(True, h[1:] != h[:-1])
@@ -228,21 +235,21 @@ def _settle(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     group, kind = np.cumsum(by_h) - 1, np.cumsum(by_s) - 1
     heads = np.flatnonzero(by_h)
     shared = (np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads))[group]
-    several = (np.add.reduceat(by_s.astype(np.int64), heads) > 1)[group]
+    kinds = np.add.reduceat(by_s.astype(np.int64), heads)[group]
     later = ids > ids[by_s][kind]
-    use = shared & (later | several & by_s)
-    return _said(ids[use], _entry(h[use], s[use]), ~later[use])
+    use = shared & (later | (kinds > 1) & by_s)
+    return _said(ids[use], _entry(h[use], s[use]), np.where(later, WHOLE, np.where(kinds > HOT, WINDOWS, PIECES))[use])
 
 
 def _settle_open(h: np.ndarray, s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """Replies to some of the entries of anchors: later ones of equal stretches are
     covered whole, and the least of each is to be looked at, whatever the others hold."""
     if not len(h):
-        return _said(ids, h, np.zeros(0, bool))
+        return _said(ids, h, np.zeros(0, int))
     order = np.lexsort((ids, s, h))
     h, s, ids = h[order], s[order], ids[order]
     head = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
-    return _said(ids, _entry(h, s), ids <= ids[head][np.cumsum(head) - 1])
+    return _said(ids, _entry(h, s), np.where(ids <= ids[head][np.cumsum(head) - 1], WINDOWS, WHOLE))
 
 
 class _Shard:
@@ -279,32 +286,33 @@ class _Shard:
         yield _settle(h[~out], s[~out], owners[~out])
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], passes: Callable, new: Callable, add: Callable) -> Iterator[pa.RecordBatch]:
-    """Hands on the rows that pass, and gives the others, sorted by shard, one by one to
-    their shard's state, which says what it settles at once and in the end."""
+def _by_group(batches: Iterator[pa.RecordBatch], passes: Callable, group: Callable, new: Callable, add: Callable) -> Iterator[pa.RecordBatch]:
+    """Hands on the rows that pass, and gives the others, sorted by group, one by one to
+    their group's state, which says what it settles at once and in the end."""
     current, state = None, None
     for batch in batches:
         through = passes(batch)
         if pc.any(through).as_py():
             yield batch.filter(through)
         for row in zip(*[c.to_pylist() for c in batch.filter(pc.invert(through)).columns], strict=True):
-            if state is None or row[0] != current:
+            if state is None or group(row) != current:
                 if state is not None:
                     yield from state.rest()
-                current, state = row[0], new()
+                current = group(row)
+                state = new(current)
             yield from add(state, row)
     if state is not None:
         yield from state.rest()
 
 
 def _replies(entries: DataFrame) -> DataFrame:
-    """(id, entry, mixed) of what the shards and the batches settled."""
+    """(id, entry, how) of what the shards and the batches settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_shard(batches, lambda batch: batch.column(3).is_valid(), _Shard, lambda shard, row: shard.add(row[1], row[2]))
+        yield from _by_group(batches, lambda batch: batch.column(3).is_valid(), lambda row: row[0], lambda _: _Shard(), lambda shard, row: shard.add(row[1], row[2]))
 
     dealt = entries.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, _ENTRIES).select("id", "entry", "mixed")
+    return dealt.mapInArrow(frugal(run), _ENTRIES).select("id", "entry", "how")
 
 
 def _covered(intervals: np.ndarray, size: int) -> np.ndarray:
@@ -353,8 +361,9 @@ def _at_row(entry: np.ndarray, row: np.ndarray) -> np.ndarray:
     return entry ^ _mix(row.astype(np.uint64) + np.uint64(1))
 
 
-def _looked_at(docs: DataFrame, length: int) -> DataFrame:
-    """For documents with replies: covered intervals (kind 1), and pieces to sort (kind 0)."""
+def _looked_at(docs: DataFrame, length: int, shards: int) -> DataFrame:
+    """For documents with replies: covered intervals (kind 1), pieces to sort (kind 0), and
+    windows of hot anchors, packed by shard (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,9 +382,12 @@ def _looked_at(docs: DataFrame, length: int) -> DataFrame:
                     names.append(ids[d])
                     a.append(_merged(spans[i:j]).tobytes())
                     b.append(b"")
-            part = np.flatnonzero(np.isin(asked, _asked(batch.column(3))))
-            _, once = np.unique(asked[part], return_index=True)  # what is found counts for all equal stretches of a document
-            for i in part[once].tolist():
+
+            def once(column: int) -> list[int]:  # what is found counts for all equal stretches of a document
+                part = np.flatnonzero(np.isin(asked, _asked(batch.column(column))))
+                return part[np.unique(asked[part], return_index=True)[1]].tolist()
+
+            for i in once(3):
                 d, at = int(doc[i]), int(first[i])
                 name = int(entry[i]).to_bytes(8, "little")
                 for key, window, piece in _pieces_of(texts[d], at, int(count[i]), int(offset[i]), int(h[i])):
@@ -385,8 +397,29 @@ def _looked_at(docs: DataFrame, length: int) -> DataFrame:
                     a.append(name + (window - at).to_bytes(8, "little"))
                     b.append(piece)
             yield _rows(keys, kind, names, a, b)
-
-    return docs.mapInArrow(run, _SHAPE)
+            hot = once(4)
+            if hot:
+                yield from _dealt_windows([(ids[doc[i]], entry[i], texts[doc[i]], int(first[i]), int(count[i])) for i in hot], length, shards)
+
+    return docs.mapInArrow(frugal(run), _SHAPE)
+
+
+def _dealt_windows(found: list[tuple], length: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Windows of (document, entry, text, first window, windows): of equal ones in the batch
+    those of later documents as answers, the others packed by shard."""
+    hashes = b"".join(hashlib.blake2b(text[k : k + length], digest_size=16).digest() for _, _, text, at, n in found for k in range(at, at + n))
+    n = np.array([f[4] for f in found])
+    named = np.column_stack([np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.uint64).view(np.int64), np.cumsum(n) - n])
+    owners = np.repeat(named, n, axis=0)
+    owners[:, 2] = np.arange(len(owners)) - owners[:, 2]
+    told, keys, owners = _least_windows(np.frombuffer(hashes, np.uint64).reshape(-1, 2), owners)
+    yield told
+    shard = (keys[:, 0] % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, keys, owners = shard[order], keys[order], owners[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    yield _rows([int(shard[i]) for i, _ in spans], [2] * len(spans), [0] * len(spans), [keys[i:j].tobytes() for i, j in spans], [owners[i:j].tobytes() for i, j in spans])
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -396,33 +429,14 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], np.append(reach[:-1][head[1:]], reach[-1])], axis=1)
 
 
-def _sorted_pieces(ids: np.ndarray, pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece the offsets of its windows that occur in a piece of a lesser id."""
-    sizes = np.array([len(p) + 1 for p in pieces])
-    starts = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + 1
-    text[starts + sizes - 1] = 0
-    places, common = suffix_array(text, length)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    left = np.repeat(starts + sizes - 1, sizes) - np.arange(len(text))
-    run = np.cumsum(common < length) - 1
-    mine = ids[owner[places]]
-    heads = np.flatnonzero(common < length)
-    earlier = (np.minimum.reduceat(mine, heads)[run] < mine) & (left[places] >= length)
-    hit = np.sort(places[earlier])
-    by = owner[hit]
-    cut = np.searchsorted(by, np.arange(len(pieces) + 1))
-    return [hit[cut[i] : cut[i + 1]] - starts[i] for i in range(len(pieces))]
-
-
 def _told(ids: np.ndarray, names: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Windows that repeat, one a row, as a list for each document's entry."""
+    """Windows that repeat, one a row, as a list for each document's entry (kind 3: answers)."""
     order = np.lexsort((at, names, ids))
     ids, names, at = ids[order], names[order], at[order]
     cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (names[1:] != names[:-1])) + 1
     heads = np.append(0, cuts)[: len(ids)].astype(np.int64)
     windows = [w.tobytes() for w in np.split(at, cuts)][: len(heads)]
-    return _rows([0] * len(heads), [0] * len(heads), ids[heads].tolist(), [n.tobytes() for n in names[heads]], windows)
+    return _rows([0] * len(heads), [3] * len(heads), ids[heads].tolist(), [n.tobytes() for n in names[heads]], windows)
 
 
 def _least_windows(keys: np.ndarray, owners: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
@@ -437,96 +451,126 @@ def _least_windows(keys: np.ndarray, owners: np.ndarray) -> tuple[pa.RecordBatch
 
 
 class _Key:
-    """Settles the pieces of one key; beyond ``SORTED`` bytes they leave as windows."""
+    """Hands the pieces of one key to the sorter, if they are of several documents."""
 
     def __init__(self, sorter: _Sorter) -> None:
         self.sorter = sorter
         self.rows: list[tuple] = []
-        self.size, self.spread = 0, False
 
     def add(self, row: tuple) -> Iterator[pa.RecordBatch]:
         self.rows.append(row)
-        self.size += len(row[4])
-        if self.size > SORTED:
-            self.spread = True
-            yield from self._windows()
-            self.rows, self.size = [], 0
-
-    def _windows(self) -> Iterator[pa.RecordBatch]:
-        length = self.sorter.length
-        n = np.array([len(r[4]) - length + 1 for r in self.rows])
-        hashes = b"".join(hashlib.blake2b(r[4][k : k + length], digest_size=16).digest() for r in self.rows for k in range(len(r[4]) - length + 1))
-        named = np.frombuffer(b"".join(r[3] for r in self.rows), np.int64).reshape(-1, 2)
-        ids = np.array([r[2] for r in self.rows], np.int64)
-        owners = np.repeat(np.column_stack([ids, named[:, 0], named[:, 1] - np.cumsum(n) + n]), n, axis=0)
-        owners[:, 2] += np.arange(len(owners))
-        told, keys, owners = _least_windows(np.frombuffer(hashes, np.uint64).reshape(-1, 2), owners)
-        yield told
-        shard = (keys[:, 0] % np.uint64(self.sorter.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        shard, keys, owners = shard[order], keys[order], owners[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        yield _rows([int(shard[i]) for i, _ in spans], [2] * len(spans), [0] * len(spans), [keys[i:j].tobytes() for i, j in spans], [owners[i:j].tobytes() for i, j in spans])
+        return iter(())
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        """What is still held."""
-        if self.spread:
-            if self.rows:
-                yield from self._windows()
-        elif len({r[2] for r in self.rows}) > 1:  # or no other document has its key
-            yield from self.sorter.settle(self.rows)
-
-
-class _Sorter:
-    """Sorts the pieces of many keys together."""
-
-    def __init__(self, length: int, shards: int) -> None:
-        self.length, self.shards = length, shards
-        self.held: list[tuple] = []
-        self.size = 0
-
-    def settle(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # of equal pieces the least document's is sorted; all windows of later ones repeat
+        """Of equal pieces the least document's is sorted; all windows of later ones repeat."""
         least: dict[bytes, tuple] = {}
-        for r in rows:
+        for r in self.rows:
             if r[4] not in least or r[2] < least[r[4]][2]:
                 least[r[4]] = r
-        equal = [(r, np.arange(len(r[4]) - self.length + 1)) for r in rows if r[2] > least[r[4]][2]]
+        equal = [r for r in self.rows if r[2] > least[r[4]][2]]
         if equal:
-            yield self._answers(equal)
-        if len(least) > 1:
-            self.held += least.values()
-            self.size += sum(map(len, least))
-            if self.size > SORTED:
-                yield self.flush()
-
-    def flush(self) -> pa.RecordBatch:
-        found = _sorted_pieces(np.array([r[2] for r in self.held], np.int64), [r[4] for r in self.held], self.length)
-        out = [(r, w) for r, w in zip(self.held, found, strict=True) if len(w)]
-        self.held, self.size = [], 0
-        return self._answers(out)
+            windows = [np.arange(len(r[4]) - self.sorter.length + 1) + int.from_bytes(r[3][8:], "little") for r in equal]
+            yield _rows([0] * len(equal), [3] * len(equal), [r[2] for r in equal], [r[3][:8] for r in equal], [w.astype(np.int64).tobytes() for w in windows])
+        if len({r[2] for r in least.values()}) > 1:
+            self.sorter.put(list(least.values()))
 
-    def _answers(self, out: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
-        windows = [np.asarray(w + int.from_bytes(r[3][8:], "little"), np.int64).tobytes() for r, w in out]
-        return _rows([0] * len(out), [0] * len(out), [r[2] for r, _ in out], [r[3][:8] for r, _ in out], windows)
 
+class _Sorter:
+    """The pieces of a task as one text on disk, each ended by a symbol below all others."""
+
+    #: Document, entry, first window and length of a piece.
+    PIECE = np.dtype([("id", "<i8"), ("name", "<i8"), ("at", "<i8"), ("size", "<i8")])
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self.text, self.pieces = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.size = self.count = 0
+
+    def put(self, rows: list[tuple]) -> None:
+        """Appends pieces."""
+        told = np.empty(len(rows), self.PIECE)
+        named = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
+        told["id"], told["name"], told["at"] = [r[2] for r in rows], named[:, 0], named[:, 1]
+        told["size"] = [len(r[4]) + 1 for r in rows]
+        text = np.frombuffer(b"\0".join(r[4] for r in rows) + b"\0", np.uint8).astype(np.uint16) + 1
+        text[np.cumsum(told["size"]) - 1] = 0
+        self.text.write(text.tobytes())
+        self.pieces.write(told.tobytes())
+        self.size, self.count = self.size + len(text), self.count + len(rows)
+
+    def answers(self) -> Iterator[pa.RecordBatch]:
+        """For pieces with windows that occur in a piece of a lesser document: those windows."""
+        if not self.count:
+            return
+        self.text.flush()
+        self.pieces.flush()
+        text = np.memmap(self.text, np.uint16, "r", shape=(self.size,))
+        pieces = np.memmap(self.pieces, self.PIECE, "r", shape=(self.count,))
+        ends = np.cumsum(pieces["size"])
+        hit = np.memmap(tempfile.TemporaryFile(), bool, "w+", shape=(self.size,))
+        run = _Run(hit)
+        for at, common in suffix_blocks(text, self.length):
+            run.add(at, common < self.length, lambda places: pieces["id"][np.searchsorted(ends, places, side="right")])
+        run.end()
+        for lo in range(0, self.size, 1 << 20):
+            found = np.flatnonzero(hit[lo : lo + (1 << 20)]) + lo
+            owner = np.searchsorted(ends, found, side="right")
+            whole = found + self.length < ends[owner]  # strings that run over a piece's end are no windows
+            found, owner = found[whole], owner[whole]
+            mine = pieces[owner]
+            yield _told(mine["id"], mine["name"], mine["at"] + found - (ends[owner] - mine["size"]))
+        self.text.close()
+        self.pieces.close()
+
+
+class _Run:
+    """Marks, in runs of equal windows, those of documents after a run's least one.
+
+    Of the run that is still open only the windows of its least document are held.
+    """
 
-def _settled(pieces: DataFrame, length: int, shards: int) -> DataFrame:
-    """(shard, kind, id, a, b): covered intervals as they come (kind 1); of pieces with
-    repeated windows, the entry and the windows (kind 0); windows of keys with too many
-    pieces, packed by shard (kind 2)."""
+    def __init__(self, hit: np.ndarray) -> None:
+        self.hit = hit
+        self.least, self.held = 0, np.zeros(0, np.int64)
+
+    def add(self, at: np.ndarray, new: np.ndarray, ids: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Suffixes in order; ``new`` tells those that begin a run."""
+        alone = new & np.append(new[1:], False)
+        keep = ~alone
+        keep[:1] = True  # it may end a run, as the last may begin one
+        at, new = at[keep], new[keep]
+        mine = ids(at)
+        if not new[0]:  # the open run goes on
+            at, new = np.append(self.held, at), np.append(np.zeros(len(self.held), bool), new)
+            mine = np.append(np.full(len(self.held), self.least), mine)
+        heads = np.flatnonzero(new)
+        heads = np.append(0, heads) if not new[0] else heads
+        run = np.cumsum(new) - (1 if new[0] else 0)
+        least = np.minimum.reduceat(mine, heads)
+        self.hit[at[mine > least[run]]] = True
+        tail = at[heads[-1] :]
+        self.least = least[-1]
+        self.held = tail[mine[heads[-1] :] == self.least]
+
+    def end(self) -> None:
+        """The last run is over."""
+        self.held = self.held[:0]
+
+
+def _settled(pieces: DataFrame, length: int) -> DataFrame:
+    """(shard, kind, id, a, b): covered intervals as they come (kind 1), and entries with
+    windows that repeat (kind 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter = _Sorter(length, shards)
-        yield from _by_shard(batches, lambda batch: pc.equal(batch.column(1), 1), lambda: _Key(sorter), lambda key, row: key.add(row))
-        if sorter.held:
-            yield sorter.flush()
+        sorter = _Sorter(length)
+        done = lambda batch: pc.is_in(batch.column(1), pa.array([1, 3], pa.int32()))
+        yield from _by_group(batches, done, lambda row: (row[1], row[0]), lambda group: _Windows() if group[0] == 2 else _Key(sorter), lambda state, row: state.add(row))
+        yield from sorter.answers()
 
-    # what is covered whole passes, spread by document
-    spread = F.when(F.col("kind") == 1, F.xxhash64("id")).otherwise(F.col("shard"))
-    dealt = pieces.withColumn("shard", spread).repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, _SHAPE)
+    # what is settled passes, spread by document
+    spread = F.when(F.col("kind").isin(1, 3), F.xxhash64("id")).otherwise(F.col("shard"))
+    dealt = pieces.withColumn("shard", spread).repartition("shard").sortWithinPartitions("kind", "shard")
+    return dealt.mapInArrow(frugal(run), _SHAPE)
 
 
 class _Windows:
@@ -547,15 +591,6 @@ class _Windows:
         yield _least_windows(keys.reshape(-1, 2), owners.reshape(-1, 3))[0]
 
 
-def _windows_settled(windows: DataFrame) -> DataFrame:
-    """As ``_settled`` (kind 0), of windows dealt by their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_shard(batches, lambda batch: pc.equal(batch.column(1), 1), _Windows, lambda shard, row: shard.add(row))
-
-    return windows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _SHAPE)
-
-
 def _release(df: DataFrame) -> None:
     """Lets the cluster drop shuffle files that nothing refers to any more."""
     import gc
@@ -582,19 +617,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = 1 << max(6, (total // SHARD_BYTES).bit_length())
     replies = _replies(_anchors(named, length, shards))
-    pick = lambda wanted: F.collect_list(F.when(wanted, F.col("entry")))
-    asked = replies.groupBy("id").agg(pick(~F.col("mixed")).alias("full"), pick(F.col("mixed")).alias("mixed"))
+    pick = lambda how: F.collect_list(F.when(F.col("how") == how, F.col("entry")))
+    asked = replies.groupBy("id").agg(pick(WHOLE).alias("whole"), pick(PIECES).alias("pieces"), pick(WINDOWS).alias("windows"))
     asked = checkpoint(asked)
     del replies
     _release(docs)
-    pieces = _looked_at(named.join(asked, "id").select("id", "text", "full", "mixed"), length)
-    settled = stored(_settled(pieces, length, shards))
-    del pieces, asked
-    _release(docs)
-    answers = settled.where("kind < 2").unionByName(_windows_settled(settled.where("kind = 2")))
-    found = answers.groupBy("id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("m"))
+    pieces = _looked_at(named.join(asked, "id").select("id", "text", "whole", "pieces", "windows"), length, shards)
+    found = _settled(pieces, length).groupBy("id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("m"))
     marks = checkpoint(found)
-    del found, answers, settled
+    del pieces, asked, found
     _release(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -613,7 +644,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(gone), pa.array(spans), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     shape = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return base.join(marks, "id", "left").select("id", "text", "m").mapInArrow(run, shape)
+    return base.join(marks, "id", "left").select("id", "text", "m").mapInArrow(frugal(run), shape)
 
 
 def _mask(text: bytes, marks: list[dict], length: int) -> np.ndarray:
@@ -621,7 +652,7 @@ def _mask(text: bytes, marks: list[dict], length: int) -> np.ndarray:
     parts = [np.frombuffer(m["a"], np.int64).reshape(-1, 2) for m in marks if m["kind"] == 1]
     partial: dict[int, list[np.ndarray]] = {}
     for m in marks:
-        if m["kind"] == 0:
+        if m["kind"] == 3:
             partial.setdefault(int.from_bytes(m["a"], "little"), []).append(np.frombuffer(m["b"], np.int64))
     if partial:  # every stretch of the document with that entry
         _, first, _, _, h, s = _found([text], length)
