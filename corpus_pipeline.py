@@ -37,8 +37,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data; ``n_chars`` is counted anew."""
+    """Replaces personal data; ``n_chars``, if there is such a column, is counted anew."""
     out = pii.redact(docs, pii.fit(spark, docs))
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -188,3 +188,25 @@ def test_naive_bayes_against_counting() -> None:
         assert abs(got[code] - expected) < 1e-9
     z = rng.normal(size=4000)
     assert abs(quality.weight_of(z, (rng.random(4000) < 1 / (1 + np.exp(-0.4 * z))).astype(float)) - 0.4) < 0.1
+
+
+def test_toxicity_scores_against_the_formula(spark) -> None:
+    """Every n-gram of every text one by one, hashed as stated, weighed and added up."""
+    rng = random.Random(30)
+    rows = [(i, text(rng, "abcdé", 30) + (" qx" * (i % 2))) for i in range(120)] + [(500 + k, t) for k, t in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int"), features=300)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    assert 0 < len(weight) <= 300
+
+    def bucket(gram: str) -> int:
+        state = ord(gram[0])
+        for c in gram[1:]:
+            state = (state * 0x01000193 + ord(c)) % (1 << 32)
+        return ((state ^ (state >> 15)) * 0x85EBCA6B + len(gram)) % (1 << 32) >> 12
+
+    for r in toxicity.predict(df, model).collect():
+        lowered = (dict(rows)[r.id] or "").lower()
+        present = {bucket((lowered + toxicity.GAP)[i : i + n]) for n in toxicity.GRAMS for i in range(len(lowered))}
+        logit = model.bias + sum(weight.get(b, 0.0) for b in present)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-9, r.id

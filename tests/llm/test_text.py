@@ -213,6 +213,42 @@ def found_by(items: list, texts: list, threshold: float = 0.6) -> dict:
     return {(d, i): s for d, i, s, *_ in find([" ".join(t).encode() for t in texts])}
 
 
+def test_recall_of_edited_copies_against_full_alignment() -> None:
+    """Copies edited at random: what full Smith-Waterman of every pair finds is found."""
+    rng = random.Random(21)
+    vocabulary = ["v%d" % i for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(12, 45))] for _ in range(12)]
+    texts = []
+    for _ in range(220):
+        out = []
+        rate = rng.choice((0.05, 0.15, 0.25, 0.35))
+        for w in rng.choice(items):
+            kind = rng.random()
+            if kind < rate / 3:
+                continue
+            if kind < 2 * rate / 3:
+                out.append(rng.choice(vocabulary))
+                continue
+            out.append(w)
+            if kind < rate:
+                out.append(rng.choice(vocabulary))
+        texts.append([rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] + out + [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))])
+    got = found_by(items, texts)
+    truth = {(d, i): smith_waterman(item, text) / (2 * len(item)) for d, text in enumerate(texts) for i, item in enumerate(items)}
+    expected = {k: v for k, v in truth.items() if v >= 0.6}
+    assert len(expected) > 120 and set(got) <= set(expected)
+    assert all(got[k] == expected[k] for k in got)
+    assert len(got) >= 0.98 * len(expected), len(got) / len(expected)
+
+
+def test_rows_and_items_without_ids(spark) -> None:
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item), (-1, item), (-1, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (-1, item + " more")], "item_id long, text string")
+    got = Counter((r.id, r.item) for r in decontaminate.search(docs, bench).collect())
+    assert got == {(None, None): 1, (None, -1): 1, (-1, None): 2, (-1, -1): 2}
+
+
 def test_blocks_put_into_copies() -> None:
     item = [f"w{i}" for i in range(40)]
     for block in (20, 26, 28, 30, 31, 32):

@@ -35,10 +35,11 @@ class Model:
 
 
 def buckets_of(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The document at each place, and the bucket of the n-gram there, for each n."""
+    """The document at each place (-1 between texts), and the bucket of the n-gram from
+    there on, for each n; the last ones of a text run on into what follows it."""
     lowered = [t.lower() for t in texts]
     points = np.frombuffer((GAP.join(lowered) + GAP).encode("utf-32-le", "replace"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), [len(t) + len(GAP) for t in lowered])
+    owner = np.repeat(np.column_stack([np.arange(len(texts)), np.full(len(texts), -1)]).ravel(), [k for t in lowered for k in (len(t), len(GAP))])
     state = points.copy()
     out = []
     for n in range(2, max(GRAMS) + 1):
@@ -55,6 +56,7 @@ def present(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pairs = [np.zeros(0, np.int64)]
     for b in found:
         at = np.flatnonzero(wanted[b])
+        at = at[owner[at] >= 0]
         pairs.append(owner[at] * BUCKETS + b[at])
     pairs = np.unique(np.concatenate(pairs))
     return pairs // BUCKETS, pairs % BUCKETS
