@@ -44,9 +44,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder."""
+    """Cut the lineage with files in the shared folder.
+
+    The shuffle files that made the frame go at once; ``df`` itself is not to be run again.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _drop_shuffles(df)
+    return out
+
+
+def _drop_shuffles(df: DataFrame) -> None:
+    """Removes the shuffle files of a frame that was run, instead of leaving them until the
+    driver collects its garbage."""
+    held = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if not held.isDefined():
+        return
+    plans = [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        elif kind == "ReusedExchangeExec":
+            continue
+        elif kind == "ShuffleExchangeExec":
+            held.get().doCleanupShuffle(plan.shuffleDependency().shuffleId(), True)
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
 
 
 def stored(df: DataFrame) -> DataFrame:

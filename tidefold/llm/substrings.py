@@ -177,9 +177,9 @@ WHOLE, PIECES, WINDOWS = 0, 1, 2
 
 
 def _said(ids: np.ndarray, entry: np.ndarray, how: np.ndarray) -> pa.RecordBatch:
-    """Replies to documents."""
+    """Replies to documents, spread by document."""
     none = pa.nulls(len(ids), pa.binary())
-    shard = -1 - (entry % np.uint64(1 << 20)).astype(np.int64)
+    shard = -1 - (_mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(1 << 20)).astype(np.int64)
     return pa.record_batch([pa.array(shard), none, none, pa.array(ids), pa.array(entry.view(np.int64)), pa.array(how, pa.int32())], _ENTRY)
 
 
@@ -197,13 +197,15 @@ def _anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
             if not len(h):
                 continue
             mine, entry = ids[doc], _entry(h, s)
-            order = np.argsort(entry)
+            order = np.argsort(entry, kind="stable")
             head = np.flatnonzero(np.append(True, entry[order][1:] != entry[order][:-1]))
             sizes = np.diff(np.append(head, len(order)))
             least = np.repeat(np.minimum.reduceat(mine[order], head), sizes)
             is_least = mine[order] == least
             later = order[~is_least]
-            if len(later):
+            if len(later):  # once a document and entry
+                again = (mine[later][1:] == mine[later][:-1]) & (entry[later][1:] == entry[later][:-1])
+                later = later[np.append(True, ~again)]
                 yield _said(mine[later], entry[later], np.full(len(later), WHOLE))
             # of the entries of the least document, the first
             rank = np.where(is_least, np.arange(len(order)), len(order))
@@ -591,17 +593,6 @@ class _Windows:
         yield _least_windows(keys.reshape(-1, 2), owners.reshape(-1, 3))[0]
 
 
-def _release(df: DataFrame) -> None:
-    """Lets the cluster drop shuffle files that nothing refers to any more."""
-    import gc
-    import time
-
-    for _ in range(2):  # what the first frees may be all that refers to more
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row.
 
@@ -620,13 +611,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pick = lambda how: F.collect_list(F.when(F.col("how") == how, F.col("entry")))
     asked = replies.groupBy("id").agg(pick(WHOLE).alias("whole"), pick(PIECES).alias("pieces"), pick(WINDOWS).alias("windows"))
     asked = checkpoint(asked)
-    del replies
-    _release(docs)
     pieces = _looked_at(named.join(asked, "id").select("id", "text", "whole", "pieces", "windows"), length, shards)
     found = _settled(pieces, length).groupBy("id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("m"))
     marks = checkpoint(found)
-    del pieces, asked, found
-    _release(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
