@@ -337,17 +337,18 @@ def defanged(kind: str, hit: str, rng: random.Random) -> str | None:
     return None
 
 
-def weak_labels(docs: DataFrame, text_col: str = "text", rows: int = 4096, spans: int = 1000, seed: int = 11) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, ...]]]:
+def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 8192, spans: int = 1000, seed: int = 11) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, ...]]]:
     """Texts with a known span each, and feature rows of what is none, from documents.
 
     Base matches are personal whatever else; written as ``defanged`` does, each in the
     words that stood around it, they are positives. What the generators propose in
-    documents beside base matches is taken as negative. ``rows`` documents with digits or
-    @ are looked at, and ``spans`` matches and ``spans`` proposals of each kind are used,
-    all drawn by hash, so what comes to the driver is bounded.
+    documents beside base matches is taken as negative. About ``rows`` documents, each
+    drawn by the hash of its id and text, are looked at, and at most ``spans`` matches and
+    ``spans`` proposals of each kind are used; that is what comes to the driver.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chosen = docs.select(text.alias("text")).where(F.rlike("text", F.lit("[0-9@]"))).orderBy(F.xxhash64("text")).limit(rows)
+    draw = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 40)) / float(1 << 40)
+    chosen = docs.where(draw < rows / max(1, docs.count())).select(text.alias("text")).where(F.rlike("text", F.lit("[0-9@]")))
     sample = checkpoint(chosen.repartition(8))
     rng = random.Random(seed)
     texts, places, against = [], [], []
@@ -372,7 +373,7 @@ def _left_over(text: Column) -> Column:
     return text
 
 
-def fit(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text", seed: int = 11, precision: float = 0.97) -> Trees:
+def fit(spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, precision: float = 0.97) -> Trees:
     """Trees from two thirds of the labelled candidates; on the rest, the lowest threshold
     of each kind whose selection has at least ``precision``.
 
@@ -383,7 +384,7 @@ def fit(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "tex
     rows = [{"n": i, "text": t, "low": 0, "high": len(t), "y": y} for i, (t, y) in enumerate(written)]
     data: list[tuple[int, ...]] = []
     if docs is not None:
-        texts, places, against = weak_labels(docs, text_col, seed=seed)
+        texts, places, against = weak_labels(docs, id_col, text_col, seed=seed)
         rows += [{"n": len(rows) + i, "text": t, "low": a, "high": b, "y": 1} for i, (t, (a, b)) in enumerate(zip(texts, places, strict=True))]
         data += [(i, 0, *r) for i, r in enumerate(against)]
     table = local_rows(spark, rows, "n int, text string, low int, high int, y int")
