@@ -11,6 +11,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidefold.llm import decontaminate, licenses, pii, sentencepiece
@@ -318,6 +320,27 @@ def test_short_texts_run_out_of_segmentations(vocabulary) -> None:
     assert all(inc == 0.0 for _, _, inc in row)
 
 
+@given(st.lists(st.text(" ab\u2581\u00e9\n", max_size=9), max_size=6))
+def test_units_are_words_with_the_blanks_before_them(texts) -> None:
+    blank = sentencepiece.BLANK
+    unit = re.compile(f"{blank}*[^{blank}]+|{blank}+")
+    names, code, sizes = sentencepiece.split(texts)
+    assert len(set(names)) == len(names)
+    found = iter([names[i] for i in code])
+    for text, size in zip(texts, sizes.tolist(), strict=True):
+        marked = blank + text.replace(blank, sentencepiece.LITERAL).replace(" ", blank) if text else ""
+        assert [next(found) for _ in range(size)] == unit.findall(marked)
+    assert next(found, None) is None
+
+
+@given(st.lists(st.one_of(st.integers(0, 31999), st.characters(exclude_categories=["Cs"])), max_size=20))
+def test_symbols_without_a_piece_become_their_bytes(vocabulary, items) -> None:
+    pieces = np.array([x if isinstance(x, int) else -1 - ord(x) for x in items], np.int64)
+    ids, many = sentencepiece.spell(pieces, vocabulary)
+    want = [[x] if isinstance(x, int) else vocabulary.byte_ids[list(x.encode())].tolist() for x in items]
+    assert ids.tolist() == [i for w in want for i in w] and many.tolist() == [len(w) for w in want]
+
+
 def test_round_trip(spark, vocabulary) -> None:
     texts = ["Hello world", " a  b\n\tü 中文 \U0001f600 ▁▁x ", "", None, " ", "x" * 4000, "é\u0000z", "same", "same"]
     df = spark.createDataFrame([(i if i < 8 else 7, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, pieces string")

@@ -18,13 +18,13 @@ is near it.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +39,8 @@ CHUNK = 1 << 18
 #: Edges of the lattices that a task keeps for units it may meet again.
 STORED_EDGES = 2_000_000
 #: Steps of a path whose nodes are looked at first.
-NODES = 256
+NODES = 64
 _ALL = (1 << 64) - 1
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 @dataclass
@@ -167,7 +166,24 @@ class Lattice:
     size: np.ndarray
     logp: np.ndarray
     cum: np.ndarray
-    spelled: dict[int, np.ndarray]
+
+
+def spell(pieces: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids with symbols, which are below zero, spelled as byte pieces, and how many ids each gives."""
+    bare = np.flatnonzero(pieces < 0)
+    many = np.ones(len(pieces), np.int64)
+    code = -1 - pieces[bare]
+    code[code == ord(LITERAL)] = ord(BLANK)
+    size = np.searchsorted([0x80, 0x800, 0x10000], code, "right") + 1
+    many[bare] = size
+    ids = np.repeat(pieces, many)
+    at = (np.cumsum(many) - many)[bare]
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
+    for k in range(4):
+        on = size > k
+        bits = code[on] >> (6 * (size[on] - 1 - k))
+        ids[at[on] + k] = vocabulary.byte_ids[bits & 0x3F | 0x80 if k else bits | lead[on]]
+    return ids, many
 
 
 def lattice(units: list[str], trie: Trie) -> Lattice:
@@ -197,13 +213,9 @@ def lattice(units: list[str], trie: Trie) -> Lattice:
         single[found[0][0]] = True
     # a symbol without a piece is spelled in bytes: one edge, named by the symbol below zero
     bare = np.flatnonzero(~single)
-    kinds, which = np.unique(points[bare], return_inverse=True)
-    spelled = {}
-    cost = np.zeros(len(kinds))
-    for i, c in enumerate(kinds.tolist()):
-        ids = v.byte_ids[list((BLANK if chr(c) == LITERAL else chr(c)).encode())]
-        spelled[-1 - c] = ids
-        cost[i] = v.weights[ids].sum()
+    kinds, which = np.unique(-1 - points[bare], return_inverse=True)
+    ids, many = spell(kinds, v)
+    cost = np.bincount(np.repeat(np.arange(len(kinds)), many), v.weights[ids], len(kinds))
     found.append((bare, 1, -1 - points[bare]))
     degree = np.zeros(n, np.int64)
     for where, _, _ in found:
@@ -242,7 +254,7 @@ def lattice(units: list[str], trie: Trie) -> Lattice:
     cum = run - np.repeat((run - p)[begins], sorted_degree)
     last = first + degree - 1
     cum[last] = 2.0  # no draw goes beyond
-    return Lattice(start, left, first, last, piece, size, np.minimum(logp, 0.0), cum, spelled)
+    return Lattice(start, left, first, last, piece, size, np.minimum(logp, 0.0), cum)
 
 
 class Store:
@@ -253,18 +265,20 @@ class Store:
         self.known: dict[str, int] = {}
         self.units = self.places = self.edges = 0
         z = lambda kind: np.zeros(0, kind)
-        self.lat = Lattice(z(np.int64), z(np.int32), z(np.int64), z(np.int64), z(np.int32), z(np.int8), z(np.float64), z(np.float32), {})
+        self.lat = Lattice(z(np.int64), z(np.int32), z(np.int64), z(np.int64), z(np.int32), z(np.int8), z(np.float64), z(np.float32))
 
-    def ids(self, rows: list[list[str]]) -> list[np.ndarray]:
-        """The numbers of the units in each row; ``lat`` has all of them."""
+    def ids(self, units: list[str]) -> np.ndarray:
+        """The numbers of distinct units; ``lat`` has all of them."""
         if self.edges > self.most:
             self.known.clear()
             self.units = self.places = self.edges = 0
-        known = self.known
-        before = len(known)
-        out = [np.array([known.setdefault(u, len(known)) for u in row], np.int64) for row in rows]
-        if len(known) > before:
-            self._add(lattice(list(islice(reversed(known), len(known) - before))[::-1], self.trie))
+        out = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        unmet = np.flatnonzero(out < 0)
+        if len(unmet):
+            new = [units[i] for i in unmet.tolist()]
+            out[unmet] = np.arange(self.units, self.units + len(new))
+            self.known.update(zip(new, out[unmet].tolist(), strict=True))
+            self._add(lattice(new, self.trie))
         return out
 
     def _add(self, new: Lattice) -> None:
@@ -283,7 +297,6 @@ class Store:
                     held = grown
                     setattr(self.lat, name, held)
                 held[used : used + more] = getattr(new, name) + shift if shift else getattr(new, name)
-        self.lat.spelled.update(new.spelled)
         self.units, self.places, self.edges = self.units + units, self.places + places, self.edges + edges
 
 
@@ -448,15 +461,43 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
 
 
+def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of some texts, which of them follow one another, and their number in each text.
+
+    A text gets a blank in front. A unit is a word with the blanks before it, or the
+    blanks that end a text; an empty text has none.
+    """
+    parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    # words hold no blank, so they become strings as one text
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py()
+    words = (BLANK + joined.replace(BLANK, LITERAL).replace(" ", " " + BLANK)).split(" ")
+    code, cuts = coded.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64)
+    if BLANK not in words:
+        return words, code, np.diff(cuts)
+    # two blanks in a row have an empty part between them
+    begins, ends = cuts[:-1], cuts[1:]
+    unit = code != words.index(BLANK)
+    kept = np.flatnonzero(unit)
+    row = np.repeat(np.arange(len(texts)), ends - begins)
+    blanks = np.zeros(len(code), np.int64)
+    blanks[kept] = kept - np.maximum(np.append(-1, kept)[:-1], begins[row[kept]] - 1)
+    last = np.append(-1, kept)[np.searchsorted(kept, ends)]
+    trail = ends - 1 - np.maximum(last, begins - 1)
+    on = np.flatnonzero((trail > 0) & np.array([t != "" for t in texts], bool))
+    unit[ends[on] - 1] = True
+    blanks[ends[on] - 1] = trail[on]
+    names, which = np.unique((blanks[unit] - 1) * len(words) + code[unit], return_inverse=True)
+    return [BLANK * (n // len(words)) + words[n % len(words)] for n in names.tolist()], which, np.bincount(row[unit], minlength=len(texts))
+
+
 def encode_chunk(texts: list[str], seeds: list[int], store: Store, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples: (piece ids, log-probability, log-inclusion)."""
-    spelled = [BLANK + t.replace(BLANK, LITERAL).replace(" ", BLANK) if t else "" for t in texts]
-    rows = store.ids([_UNIT.findall(t) for t in spelled])
-    lat = store.lat
-    if not any(texts):
+    units, code, sizes = split(texts)
+    if not units:
         return [[(np.zeros(0, np.int64), 0.0, 0.0)] for _ in texts]
-    sizes = [len(r) for r in rows]
-    unit = np.concatenate(rows)
+    unit = store.ids(units)[code]
+    lat = store.lat
     row_seed = np.repeat(np.array(seeds, np.uint64), sizes)
     ordinal = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seed = _mix(row_seed + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -466,27 +507,18 @@ def encode_chunk(texts: list[str], seeds: list[int], store: Store, k: int) -> li
         cuts = np.concatenate([[0], np.cumsum(count)])
         drawn.append((edges, np.repeat(ordinal, count), cuts))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
+    out, paths = [], []
     for r in range(len(texts)):
         if not sizes[r]:
-            out.append([(np.zeros(0, np.int64), 0.0, 0.0)])
+            out.append([(None, 0.0, 0.0)])
             continue
         fresh = [(e[c[bounds[r]] : c[bounds[r + 1]]], o[c[bounds[r]] : c[bounds[r + 1]]]) for e, o, c in drawn]
-        found = []
-        for edges, lp, inc in _samples(lat, lat.start[rows[r]], fresh, seeds[r], k):
-            ids = lat.piece[edges]
-            bare = ids[ids < 0]
-            if len(bare):
-                kinds, count = np.unique(bare, return_counts=True)
-                many = np.ones(len(ids), np.int64)
-                for i in kinds.tolist():
-                    many[ids == i] = len(lat.spelled[i])
-                ids = np.repeat(ids, many)
-                for i, n in zip(kinds.tolist(), count.tolist(), strict=True):
-                    ids[ids == i] = np.tile(lat.spelled[i], n)
-            found.append((ids, lp, inc))
-        out.append(found)
-    return out
+        out.append(_samples(lat, lat.start[unit[bounds[r] : bounds[r + 1]]], fresh, seeds[r], k))
+        paths += [path for path, _, _ in out[-1]]
+    ids, many = spell(lat.piece[np.concatenate(paths)], store.trie.v)
+    ends = np.append(0, np.cumsum(many))[np.cumsum([0, *map(len, paths)])].tolist()
+    spelled = (ids[i:j] for i, j in pairwise(ends))
+    return [[(ids[:0] if path is None else next(spelled), lp, inc) for path, lp, inc in row] for row in out]
 
 
 def decode_ids(ids: np.ndarray, data: list[bytes]) -> bytes:
