@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidefold.llm import language, quality, toxicity
@@ -175,6 +176,39 @@ def test_quality_learns_words_and_adds_up_as_stated(spark, monkeypatch) -> None:
         assert abs(r.score - 1 / (1 + np.exp(-(r.evidence + np.log(path_rate / (1 - path_rate)))))) < 1e-9
 
 
+def test_quality_learns_from_every_label(spark) -> None:
+    """With 5,000 good rows the counts, the weight and the rate are still those of all rows."""
+    rng = random.Random(8)
+    y = np.array([float(i % 6 != 0) for i in range(6000)])
+    rows = [(i, " ".join([*rng.choices(["la", "mo", "tiru"], k=5), rng.choice(["zorbam", "nyxol", "zorbam" if y[i] else "nyxol"])]), f"h{i % 3}", "p") for i in range(6000)]
+    rows[5] = (5, "seenonce", "h2", "p")
+    df = spark.createDataFrame([*rows, (9000, "zorbam mo", "new", "p")], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, quality int")
+    found = {r.id: r for r in quality.score(df, labels, F.col("host"), F.col("path")).collect()}
+    assert len(found) == 6001 and abs(found[9000].host_rate - 5001 / 6002) < 1e-9  # no label of its own
+    bins = df.where("doc_id < 9000").select("doc_id", quality.features(F.col("text")).alias("codes"), quality._half("doc_id").alias("half")).orderBy("doc_id").collect()
+    codes = [np.append(w, np.array(r.codes) + quality.WORD_CODES) for w, r in zip(quality.codes_of([t.encode() for _, t, _, _ in rows]), bins, strict=True)]
+    z = np.zeros(6000)
+    for half in (0, 1):
+        other = [i for i, r in enumerate(bins) if r.half != half]
+        ratio = quality.naive_bayes([codes[i] for i in other], y[other])
+        for i, r in enumerate(bins):
+            if r.half == half:
+                z[i] = ratio[codes[i]].sum()
+    weight, ratio = quality.weight_of(z, y), quality.naive_bayes(codes, y)
+    assert 0.5 < weight <= 1
+    assert max(abs(found[i].evidence - weight * ratio[codes[i]].sum()) for i in range(6000)) < 1e-6
+
+
+def test_packed_codes_come_back() -> None:
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, rng.choice([3, 300, 30000, quality.CODES]), n)) for n in rng.integers(1, 400, 300)]
+    rows += [np.array([0]), np.array([quality.CODES - 1]), np.array([0, quality.CODES - 1]), np.array([127, 254, 382, 16765, 33149])]
+    for some in (rows, rows[:1], []):
+        codes, sizes = quality.unpack(pa.array(quality.pack(some), pa.binary()))
+        assert sizes.tolist() == [len(r) for r in some] and codes.tolist() == [c for r in some for c in r]
+
+
 def test_naive_bayes_against_counting() -> None:
     rng = np.random.default_rng(3)
     rows = [np.unique(rng.integers(0, 30, rng.integers(1, 9))) for _ in range(80)]

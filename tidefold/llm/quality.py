@@ -13,7 +13,7 @@ the log odds of its path.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import checkpoint, chunks, frugal, utf8
+from tidefold.llm.common import checkpoint, chunks, discard, frugal, stored, utf8
 from tidefold.llm.decontaminate import words_of
 
 #: Words are hashed to so many codes; codes of statistics come after them.
@@ -41,6 +41,8 @@ CUTS = {
     "upper": (0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.3),
     "repeats": (0.01, 0.1, 0.3, 0.5, 0.8),
 }
+#: All codes, of words and of statistics.
+CODES = WORD_CODES + 100 * len(CUTS)
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -73,11 +75,13 @@ def features(text: Column) -> Column:
 
 @dataclass
 class Model:
-    """The evidence of each code (words, then statistics), and the rate of good documents
-    among the labelled ones."""
+    """The evidence of each code (words, then statistics) by all labelled rows and by those of
+    either half alone, and the rate of good documents among all with its log odds."""
 
     evidence: np.ndarray
+    halves: np.ndarray
     rate: float
+    odds: float
 
 
 def codes_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -88,74 +92,159 @@ def codes_of(texts: list[bytes]) -> list[np.ndarray]:
     return np.split(pairs % WORD_CODES, np.searchsorted(pairs // WORD_CODES, np.arange(1, len(texts))))
 
 
+def log_ratios(g: np.ndarray, b: np.ndarray, good: float, bad: float, smoothing: float = 1.0) -> np.ndarray:
+    """The log ratio of each code's share among good and bad rows, from the numbers of rows
+    that hold it (``g``, ``b``) and of all; 0 for one not seen."""
+    share = (good + smoothing) / (good + bad + 2 * smoothing)
+    out = np.log((g + 2 * smoothing * share) / (good + 2 * smoothing)) - np.log((b + 2 * smoothing * (1 - share)) / (bad + 2 * smoothing))
+    return np.where(g + b > 0, out, 0.0)
+
+
 def naive_bayes(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """The log ratio of each code's share among good and bad rows; 0 for one not seen."""
+    """``log_ratios`` of rows in memory, each the codes of one."""
     codes = np.concatenate([np.zeros(0, np.int64), *rows])
     good = np.repeat(y == 1, [len(r) for r in rows])
-    size = WORD_CODES + 100 * len(CUTS)
-    g, b = np.bincount(codes[good], minlength=size), np.bincount(codes[~good], minlength=size)
-    share = (y.sum() + smoothing) / (len(y) + 2 * smoothing)
-    seen = g + b > 0
-    out = np.log((g + 2 * smoothing * share) / (y.sum() + 2 * smoothing)) - np.log((b + 2 * smoothing * (1 - share)) / (len(y) - y.sum() + 2 * smoothing))
-    return np.where(seen, out, 0.0)
+    g, b = np.bincount(codes[good], minlength=CODES), np.bincount(codes[~good], minlength=CODES)
+    return log_ratios(g, b, y.sum(), len(y) - y.sum(), smoothing)
 
 
-def weight_of(z: np.ndarray, y: np.ndarray) -> float:
-    """The slope, 0 to 1, that makes ``z`` times it plus the log odds of ``y`` likeliest."""
-    base, slope = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0
+def _slope(sums: Callable[[float], tuple[float, float]]) -> float:
+    """The likeliest slope, 0 to 1, by Newton steps; ``sums`` has the sums of (y - p) z and
+    p (1 - p) z z over all rows at a slope."""
+    slope = 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * z + base, -30, 30)))
-        step = (((y - p) * z).sum() - 0.1 * slope) / ((p * (1 - p) * z * z).sum() + 0.1)
-        slope = min(max(slope + step, 0.0), 1.0)
-        if abs(step) < 1e-6:
+        up, bend = sums(slope)
+        last, slope = slope, min(max(slope + (up - 0.1 * slope) / (bend + 0.1), 0.0), 1.0)
+        if abs(slope - last) < 1e-6:
             break
     return slope
 
 
-def fit(sample: DataFrame, seed: int = 5) -> Model:
-    """A model of a bounded sample (text, codes, y) of labelled rows.
+def weight_of(z: np.ndarray, y: np.ndarray) -> float:
+    """The slope, 0 to 1, that makes ``z`` times it plus the log odds of ``y`` likeliest."""
+    base = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
 
-    The driver gets each sampled row's codes, 4 bytes a distinct word. With one class
-    only, or none, documents have no evidence.
-    """
+    def sums(slope: float) -> tuple[float, float]:
+        p = 1 / (1 + np.exp(-np.clip(slope * z + base, -30, 30)))
+        return ((y - p) * z).sum(), (p * (1 - p) * z * z).sum()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, more = [t or b"" for t in utf8(batch.column(0))], batch.column(1).to_pylist()
-            for i, j in chunks([len(t) for t in texts]):
-                found = [np.append(w, np.array(m, np.int64) + WORD_CODES).tolist() for w, m in zip(codes_of(texts[i:j]), more[i:j], strict=True)]
-                yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(2).slice(i, j - i)], ["codes", "y"])
-
-    got = sample.select("text", "codes", "y").mapInArrow(frugal(run), "codes array<int>, y int").collect()
-    rows, y = [np.array(r.codes, np.int64) for r in got], np.array([r.y for r in got], float)
-    rate = (y.sum() + 1) / (len(y) + 2)
-    if not 0 < y.sum() < len(y):
-        return Model(np.zeros(WORD_CODES + 100 * len(CUTS)), rate)
-    half = np.random.default_rng(seed).permutation(len(y)) % 2 == 0
-    z = np.zeros(len(y))
-    for side in (half, ~half):
-        if 0 < y[side].sum() < side.sum():
-            ratio = naive_bayes([r for r, s in zip(rows, side, strict=True) if s], y[side])
-            z[~side] = [ratio[r].sum() for r, s in zip(rows, side, strict=True) if not s]
-    return Model(weight_of(z, y) * naive_bayes(rows, y), rate)
-
-
-def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the evidence of (text, codes)."""
+    return _slope(sums)
+
+
+def weight_in(rows: DataFrame, odds: float) -> float:
+    """``weight_of`` the columns ``apart`` and ``y`` of all rows, where those are."""
+    z, y = F.col("apart"), F.col("y")
+
+    def sums(slope: float) -> tuple[float, float]:
+        p = 1 / (1 + F.exp(-F.greatest(F.least(slope * z + F.lit(odds), F.lit(30.0)), F.lit(-30.0))))
+        got = rows.agg(F.sum((y - p) * z).alias("up"), F.sum(p * (1 - p) * z * z).alias("bend")).first()
+        return got.up or 0.0, got.bend or 0.0
+
+    return _slope(sums)
+
+
+def pack(rows: list[np.ndarray]) -> list[bytes]:
+    """The ascending codes of each row, one at least, as gaps of 7 bits a byte; after a byte
+    over 127 a gap goes on."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    codes = np.concatenate([np.zeros(0, np.int64), *rows])
+    starts = np.cumsum(sizes) - sizes
+    gaps = np.diff(codes, prepend=0)
+    gaps[starts] = codes[starts]
+    wide = 1 + (gaps >> 7 > 0) + (gaps >> 14 > 0)
+    ends = np.cumsum(wide)
+    out = np.zeros(wide.sum(), np.uint8)
+    for k in range(3):
+        on = wide > k
+        out[(ends - wide)[on] + k] = (gaps[on] >> 7 * k & 127) | ((wide[on] > k + 1) << 7)
+    data, cuts = out.tobytes(), [0, *ends[starts + sizes - 1].tolist()]
+    return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all rows, one row after another, and the number of each row's."""
+    rows = column.to_pylist()
+    flat = np.frombuffer(b"".join(rows), np.uint8).astype(np.int64)
+    ends = np.flatnonzero(flat < 128)
+    starts = np.concatenate([[0], ends + 1])[:-1]
+    gaps = flat[starts] & 127
+    for k in (1, 2):
+        on = ends - starts >= k
+        gaps[on] |= (flat[starts[on] + k] & 127) << 7 * k
+    sizes = np.diff(np.searchsorted(ends, np.cumsum([len(r) for r in rows])), prepend=0)
+    first, total = np.cumsum(sizes) - sizes, np.cumsum(gaps)
+    return total - np.repeat(total[first] - gaps[first], sizes), sizes
+
+
+def coded(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and, packed, the codes of (text, codes): words, then statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(0))]
-            found = np.zeros(len(texts))
-            for i, j in chunks([len(t) for t in texts]):
-                found[i:j] = [model.evidence[w].sum() for w in codes_of(texts[i:j])]
             more = batch.column(1)
             lists = more.combine_chunks() if isinstance(more, pa.ChunkedArray) else more
-            found += model.evidence[lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(texts), -1) + WORD_CODES].sum(axis=1)
-            yield pa.record_batch([*batch.columns[2:], pa.array(found)], [*keep, "evidence"])
+            bins = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(texts), len(CUTS)) + WORD_CODES
+            found = []
+            for i, j in chunks([len(t) for t in texts]):
+                found += pack([np.append(w, m) for w, m in zip(codes_of(texts[i:j]), bins[i:j], strict=True)])
+            yield pa.record_batch([*batch.columns[2:], pa.array(found, pa.binary())], [*keep, "codes"])
 
     chosen = docs.select("text", "codes", *keep)
-    return chosen.mapInArrow(frugal(run), chosen.drop("text", "codes").schema.add("evidence", "double"))
+    return chosen.mapInArrow(frugal(run), chosen.drop("text", "codes").schema.add("codes", "binary"))
+
+
+def _half(id_col: str) -> Column:
+    """The half of a row, 0 or 1; rows of one id share it."""
+    return F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int")
+
+
+def fit(rows: DataFrame) -> Model:
+    """A model of all rows of (half, y, codes), the codes packed.
+
+    Each task counts its rows by code; the counts of a code are added up, and the driver gets
+    one row a code, however many rows there are. Rows that lack a class, all or those of a
+    half, give no evidence.
+    """
+    names = ["bad0", "good0", "bad1", "good1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, CODES + 1), np.int64)  # the last code stands for the rows
+        for batch in batches:
+            group = 2 * batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(1).to_numpy(zero_copy_only=False)
+            codes, sizes = unpack(batch.column(2))
+            total += np.bincount(np.repeat(group, sizes) * (CODES + 1) + codes, minlength=total.size).reshape(total.shape)
+            total[:, CODES] += np.bincount(group, minlength=4)
+        seen = np.flatnonzero(total.any(axis=0))
+        yield pa.record_batch([pa.array(seen, pa.int32()), *[pa.array(t[seen]) for t in total]], ["code", *names])
+
+    each = rows.select("half", "y", "codes").mapInArrow(frugal(run), "code int, " + ", ".join(f"{n} long" for n in names))
+    got = checkpoint(each.groupBy("code").agg(*[F.sum(n).alias(n) for n in names])).toArrow()
+    counts = np.zeros((4, CODES + 1))
+    counts[:, got["code"].to_numpy()] = [got[n].to_numpy() for n in names]
+
+    def ratios(b: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return log_ratios(g[:CODES], b[:CODES], g[CODES], b[CODES]) if g[CODES] and b[CODES] else np.zeros(CODES)
+
+    b, g = counts[0] + counts[2], counts[1] + counts[3]
+    good, bad = g[CODES], b[CODES]
+    return Model(ratios(b, g), np.array([ratios(*counts[:2]), ratios(*counts[2:])]), (good + 1) / (good + bad + 2), math.log((good + 1) / (bad + 1)))
+
+
+def evidence(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, the evidence of (half, codes), the codes packed, before it is
+    weighed, and ``apart``, that by the rows of the other half alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            other = 1 - batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes, sizes = unpack(batch.column(1))
+            starts = np.cumsum(sizes) - sizes  # no row is without statistics
+            sums = [np.add.reduceat(x, starts) if len(sizes) else np.zeros(0) for x in (model.evidence[codes], model.halves[np.repeat(other, sizes), codes])]
+            yield pa.record_batch([*batch.columns[2:], *[pa.array(x) for x in sums]], [*keep, "evidence", "apart"])
+
+    chosen = rows.select("half", "codes", *keep)
+    return chosen.mapInArrow(frugal(run), chosen.drop("half", "codes").schema.add("evidence", "double").add("apart", "double"))
 
 
 def _strength(groups: DataFrame, share: Column, size: Column) -> float:
@@ -172,13 +261,12 @@ def _strength(groups: DataFrame, share: Column, size: Column) -> float:
     return STRONGEST if between <= noise / STRONGEST else min(max(noise / between - 1, WEAKEST), STRONGEST)
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, threshold: float = 0.5, rows_per_class: int = 4000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """(id, host, path, evidence, host_rate, path_rate, score, keep) for every row.
 
-    ``learn`` tells the rows whose labels are used (all). The classifier is fitted on the
-    ``rows_per_class`` ids of each class that come first by hash, which go to every task;
-    rates of sites count all labelled rows. ``score`` is the probability of a good
-    document; ``keep`` is ``score >= threshold``. A null text counts as empty; a null host
+    ``learn`` tells the rows whose labels are used (all). The classifier, its weight and the
+    rates of sites are fitted on all labelled rows among them. ``score`` is the probability of
+    a good document; ``keep`` is ``score >= threshold``. A null text counts as empty; a null host
     or path is a site of its own, the empty name. A site without labels has the rate of
     what is above it; without any label all rates are a half. Of several labels of an id
     the largest counts; repeated rows keep a row each.
@@ -191,13 +279,13 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
         F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"),
         use.alias("use"), text.alias("text"), features(text).alias("codes"),
     )
-    named = base.select("id", "host", "path").where("use").join(marks, "id")
-    usable = docs.where(use).select(F.col(id_col).alias("id")).join(marks, "id").groupBy("id").agg(F.max("y").alias("y"))
-    first = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for y in (0, 1)]
-    sample = docs.where(use).select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(first[0].union(first[1])), "id")
-    sample = checkpoint(sample.select("text", "y").repartition(8))  # so that only its own statistics are counted
-    model = fit(sample.withColumn("codes", features(F.col("text"))))
-    rows = checkpoint(evidence(base, model, ["id", "host", "path"]))  # the texts are read once more; what is left of them is small
+    texts = stored(coded(base, ["id", "host", "path", "use"]).withColumn("half", _half("id")))  # the texts are read once
+    model = fit(texts.where("use").join(marks.hint("merge"), "id"))  # the same plan at every size
+    rows = checkpoint(evidence(texts, model, ["id", "host", "path", "use"]))
+    discard(texts)
+    named = checkpoint(rows.where("use").join(marks, "id").select("host", "path", "apart", "y"))
+    weight = weight_in(named, model.odds)
+    rows = rows.select("id", "host", "path", (weight * F.col("evidence")).alias("evidence"))
     found = _rates(rows, named, model.rate)
     value = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
     out = _with_sites(rows, found).select("id", "host", "path", "evidence", "host_rate", "path_rate", value.alias("score"))
